@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dac, merkle, packing, tokens
+from . import dac, dedup, merkle, packing, tokens
 from .bpe import vocabulary
 
 
@@ -12,6 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.remove_repeated(table(spark, sf_dir, "documents"), 100, ("n_bytes", "n_removed", "n_spans", "kept_sha256"))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -35,6 +39,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_array_dedup": op1,
     "op2_bpe_encode_decode": op2,
     "op3_document_fingerprints": op3,
     "op4_packing": op4,
