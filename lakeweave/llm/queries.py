@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dac, dedup, merkle, packing, tokens
+from . import ann, dac, dedup, merkle, packing, simhash, tokens
 from .bpe import vocabulary
 
 
@@ -28,10 +28,19 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), with_ids=False)
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3).select("doc_id", "fingerprint", "component_id")
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), limit=2048)
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.filter("vec_id % 20 = 0"), k=20)
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = dac.new_folder(spark)
     dac.write_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), folder)
@@ -43,7 +52,9 @@ QUERIES = {
     "op2_bpe_encode_decode": op2,
     "op3_document_fingerprints": op3,
     "op4_packing": op4,
+    "op5_simhash_near_dedup": op5,
     "op7_token_counts": op7,
+    "op8_inverted_multi_index": op8,
     "op10_token_binary": op10,
 }
 ORACLES: dict[str, str] = {}
