@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, dac, dedup, merkle, packing, simhash, tokens
+from . import ann, dac, dedup, merkle, packing, pii, simhash, tokens
 from .bpe import vocabulary
 
 
@@ -32,6 +33,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3).select("doc_id", "fingerprint", "component_id")
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), limit=2048)
 
@@ -53,6 +60,7 @@ QUERIES = {
     "op3_document_fingerprints": op3,
     "op4_packing": op4,
     "op5_simhash_near_dedup": op5,
+    "op6_personal_data": op6,
     "op7_token_counts": op7,
     "op8_inverted_multi_index": op8,
     "op10_token_binary": op10,
