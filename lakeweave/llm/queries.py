@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, dac, dedup, merkle, packing, pii, simhash, tokens
+from . import ann, dac, dedup, merkle, packing, pii, quality, simhash, tokens
 from .bpe import vocabulary
 
 
@@ -52,6 +52,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.filter("vec_id % 20 = 0"), k=20)
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = dac.new_folder(spark)
     dac.write_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), folder)
@@ -67,6 +71,7 @@ QUERIES = {
     "op6_personal_data": op6,
     "op7_token_counts": op7,
     "op8_inverted_multi_index": op8,
+    "op9_quality_classifier": op9,
     "op10_token_binary": op10,
 }
 ORACLES: dict[str, str] = {}
