@@ -317,16 +317,42 @@ def remove_repeated(docs: DataFrame, length: int = 100, outputs: tuple[str, ...]
     doc_id count in the order of their texts' checksums, and of rows equal in both the later ones repeat the first;
     texts under ``length`` bytes stay; columns besides doc_id and text are not looked at.
     """
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), OUT["spans"]: pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
+    schema = pa.schema([("doc_id", pa.int64()), *((c, kinds[OUT[c]]) for c in outputs)])
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return _with_spans(base, base, length, lambda d, f: _apply(d, f, length, outputs, schema), "doc_id long, " + ", ".join(f"{c} {OUT[c]}" for c in outputs))
+
+
+def _with_spans(base: DataFrame, rows: DataFrame, length: int, apply, schema) -> DataFrame:
+    """``apply`` on the rows and the packed spans to remove of each home; ``base``: doc_id and text without nulls."""
     if length < GRAM + 8:
         raise ValueError(f"length must be {GRAM + 8} at least")
-    spark = docs.sparkSession
-    n = partitions(spark)
+    n = partitions(base.sparkSession)
     buckets, homes, shards = 4 * n, 4 * n, 4 * n
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    home = base.withColumn("home", F.pmod(F.pmod("doc_id", F.lit(1000003)), F.lit(homes)).cast("int"))
+    at_home = lambda df: df.groupBy(F.pmod(F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.lit(1000003)), F.lit(homes)).cast("int"))
     found = base.mapInArrow(lambda b: _scan(b, length, buckets), BLOBS).repartition(n, "to").mapInArrow(lambda b: _group(b, homes), BLOBS)
-    blocks = home.groupBy("home").cogroup(found.groupBy("home")).applyInArrow(lambda d, f: _blocks(d, f, length, shards), BLOBS)
+    blocks = at_home(base).cogroup(found.groupBy("home")).applyInArrow(lambda d, f: _blocks(d, f, length, shards), BLOBS)
     spans = blocks.repartition(n, "to").mapInArrow(lambda b: _shard(b, length, homes), BLOBS)
-    kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), OUT["spans"]: pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
-    schema = pa.schema([("doc_id", pa.int64()), *((c, kinds[OUT[c]]) for c in outputs)])
-    return home.groupBy("home").cogroup(spans.groupBy("home")).applyInArrow(lambda d, f: _apply(d, f, length, outputs, schema), "doc_id long, " + ", ".join(f"{c} {OUT[c]}" for c in outputs))
+    return at_home(rows).cogroup(spans.groupBy("home")).applyInArrow(apply, schema)
+
+
+def without_repeated(docs: DataFrame, length: int = 100) -> DataFrame:
+    """The same rows and columns; ``text`` is what stays of it (see ``remove_repeated``), n_chars its code points.
+
+    A cut within a character takes the rest of that character too. Null texts stay null.
+    """
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    names = docs.columns
+
+    def apply(table: pa.Table, found: pa.Table) -> pa.Table:
+        ids = [NULL_ID if i is None else i for i in table.column("doc_id").to_pylist()]
+        old = table.column("text").to_pylist()
+        plain = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array([t or "" for t in old], pa.string())})
+        kept = _apply(plain, found, length, ("kept",), pa.schema([("doc_id", pa.int64()), ("kept", pa.binary())])).column("kept").to_pylist()
+        new = [None if t is None else k.decode(errors="ignore") for t, k in zip(old, kept, strict=True)]
+        table = table.set_column(names.index("text"), table.schema.field("text"), pa.array(new, table.schema.field("text").type))
+        if "n_chars" in names:
+            table = table.set_column(names.index("n_chars"), table.schema.field("n_chars"), pa.array([None if t is None else len(t) for t in new], table.schema.field("n_chars").type))
+        return table
+
+    return _with_spans(base, docs, length, apply, docs.schema)

@@ -359,7 +359,7 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def redact(docs: DataFrame, labelled: tuple[str, ...] = LABELLED) -> DataFrame:
-    """The same rows and columns with personal data in ``text`` replaced by <kind>. Null texts stay null."""
+    """The same rows and columns with personal data in ``text`` replaced by <kind>, and n_chars its code points. Null texts stay null."""
     names = docs.columns
     at = names.index("text")
 
@@ -372,4 +372,5 @@ def redact(docs: DataFrame, labelled: tuple[str, ...] = LABELLED) -> DataFrame:
                 new += [t and masked(t, spans) for t, (_, spans) in zip(some, find([t or "" for t in some], labelled), strict=True)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -158,3 +158,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     labels = components(names).select(F.col("node.fp").alias("fp"), F.col("component.rep").alias("label"))
     known = classes.join(labels, "fp", "left").select("fp", F.coalesce("label", "rep").alias("label"))
     return found.join(known, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.nullif("label", F.lit(NULL_ID)).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """The rows with all their columns, of each group of near duplicates (``near_duplicates``) the one with the smallest doc_id.
+
+    Of rows that repeat a doc_id one stays. Rows without an id stay where their group holds no id.
+    """
+    found = cut(near_duplicates(docs, shingle, radius).select("doc_id", "component_id"))
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
+    again = kept.filter("kept_id is not null").groupBy("kept_id").count().filter("count > 1").limit(1).count()
+    out = docs.join(kept.distinct(), docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    return out.filter("doc_id is null").unionByName(out.filter("doc_id is not null").dropDuplicates(["doc_id"])) if again else out
