@@ -9,15 +9,19 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import tiktoken
 from tokenizers import Tokenizer
 
-#: Words that one worker remembers; beyond it the memory starts anew, which costs time and changes no result.
-REMEMBERED = 600_000
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+
+#: Words that one worker remembers at most.
+REMEMBERED = 1_000_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -175,10 +179,19 @@ def pretokens(tokenizer: Tokenizer, words: list[str]) -> tuple[list[list], list[
     """For each word its parts: indices into the distinct byte-level pre-tokens, or ("special", id)."""
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
     pattern = re.compile("(" + "|".join(map(re.escape, special)) + ")")
+    letters = byte_letters()
     seen: dict[str, int] = {}
     parts = []
     for word in words:
         own: list = []
+        simple = SIMPLE.fullmatch(word)
+        if simple:
+            for piece in simple.groups():
+                if piece:
+                    piece = piece.lower() if piece.isascii() else piece.lower().encode().decode("latin-1").translate(letters)
+                    own.append(seen.setdefault(piece, len(seen)))
+            parts.append(own)
+            continue
         for piece in pattern.split(word) if "<|" in word else (word,):
             if piece in special:
                 own.append(("special", special[piece]))
@@ -199,19 +212,27 @@ def encode_words(path: str, words: list[str], merge) -> list[np.ndarray]:
 
 
 class Remembered(dict):
-    """word -> value. Looking up a word not seen yet notes it down; ``look`` then makes all their values at once."""
+    """word -> value. Looking up a word not seen yet notes it down; ``look`` then makes all their values at once.
+
+    When half of ``limit`` words have come, they become the older half; words not looked up until the next such
+    change are forgotten, which costs time and changes no result.
+    """
 
     def __init__(self, make, limit: int = REMEMBERED):
         super().__init__()
-        self.make, self.limit, self.open = make, limit, []
+        self.make, self.limit, self.open, self.older = make, limit, [], {}
 
     def __missing__(self, word):
-        self.open.append(word)
-        self[word] = None
+        value = self.older.get(word)
+        self[word] = value
+        if value is None:
+            self.open.append(word)
+        return value
 
     def look(self, lists: list[list[str]]) -> list[list]:
-        """The values of each list's words. Starts anew beforehand if too many are remembered."""
-        if len(self) > self.limit:
+        """The values of each list's words."""
+        if 2 * len(self) > self.limit:
+            self.older = dict(self)
             self.clear()
         get = self.__getitem__
         out = [list(map(get, words)) for words in lists]
@@ -237,13 +258,13 @@ class SpacedEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = library(path)
+        self.words = same_by_ranks(path)
         self.first = Remembered(lambda words: self._encode(words, ""))
         self.rest = Remembered(lambda words: self._encode(words, " "))
 
     def _encode(self, words: list[str], before: str) -> list[bytes]:
-        plain = [w for w in words if not _odd(w)]
-        found = iter(self.tokenizer.encode_batch([before + w for w in plain], add_special_tokens=False))
-        return [ODD if _odd(w) else packed(next(found)) for w in words]
+        encode = self.words.encode_ordinary
+        return [ODD if _odd(w) else np.array(encode(before + w), dtype="<u4").tobytes() for w in words]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
@@ -262,15 +283,52 @@ ODD = False
 
 
 def _odd(word: str) -> bool:
-    return not word or word[0].isspace() or word[-1].isspace()
+    return not word or word[0].isspace() or word[-1].isspace() or "<|" in word
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level files write for each byte: itself if it can be printed, or else from 256 on."""
+    shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+@lru_cache(maxsize=4)
+def same_by_ranks(path: str) -> tiktoken.Encoding:
+    """The vocabulary of a byte-level file whose ids are its merges' ranks, for the faster library; texts without special strings get the same ids."""
+    with open(path, encoding="utf-8") as file:
+        vocab = json.load(file)["model"]["vocab"]
+    back = {c: b for b, c in byte_letters().items()}
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks={bytes(back[c] for c in t): i for t, i in vocab.items()}, special_tokens={})
+
+
+#: Words whose parts are known without the library's pattern: letters that normalisation only lowers, then maybe marks.
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 
 class WordEncoder:
-    """ids of whole texts, as little-endian 32-bit integers, for a file that drops white space, by the library on each distinct word."""
+    """ids of whole texts, as little-endian 32-bit integers, for a file that drops white space, by the library on each distinct word.
+
+    Simple words are encoded many at a time, joined by spaces: the end-of-word mark tells where each one's ids stop.
+    """
 
     def __init__(self, path: str):
-        tokenizer = library(path)
-        self.memory = Remembered(lambda words: list(map(packed, tokenizer.encode_batch(words, add_special_tokens=False))))
+        self.tokenizer = library(path)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.memory = Remembered(self._encode)
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        found = list(map(SIMPLE.fullmatch, words))
+        simple = [w for w, m in zip(words, found, strict=True) if m]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(simple)], add_special_tokens=False)[0].ids, dtype="<u4")
+        parts = np.array([2 if m[2] else 1 for m in found if m], dtype=np.int64)
+        stops = (np.flatnonzero(self.ends[ids])[np.cumsum(parts) - 1] + 1).tolist()
+        raw = ids.tobytes()
+        own = iter([raw[4 * a : 4 * b] for a, b in zip([0, *stops[:-1]], stops, strict=True)])
+        rest = iter(self.tokenizer.encode_batch_fast([w for w, m in zip(words, found, strict=True) if not m], add_special_tokens=False))
+        return [next(own) if m else packed(next(rest)) for m in found]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         return list(map(b"".join, self.memory.look([words_of(t) for t in texts])))

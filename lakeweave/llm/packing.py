@@ -62,7 +62,7 @@ def _pack(batches, path, end_id, window, open_windows, with_ids):
             at += length
         serial += 1
 
-    for docs, run in rows_of(batches):
+    for docs, run in rows_of(batches, 1 << 20):
         for doc, ids in zip(docs, encode(run), strict=True):
             ids += end
             total, start = len(ids) // 4, 0
