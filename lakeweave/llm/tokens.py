@@ -36,7 +36,7 @@ def _memory(path: str) -> bpe.Remembered:
                 out.append((" ".join(map(str, ids)), " ".join(map(names.__getitem__, ids)), len(ids)))
             return out
 
-        _MEMORIES[path] = bpe.Remembered(make, 400_000)
+        _MEMORIES[path] = bpe.Remembered(make, 600_000)
     return _MEMORIES[path]
 
 
@@ -47,7 +47,7 @@ _MEMORIES: dict[str, bpe.Remembered] = {}
 def _encode_decode(batches, path, outputs, arrow):
     memory = _memory(path)
     sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
-    for ids, run in rows_of(batches, 8 << 20):
+    for ids, run in rows_of(batches, 4 << 20):
         split = [bpe.words_of(t) for t in run]
         columns: dict[str, list] = {c: [] for c in outputs}
         for words in memory.look(split):
