@@ -66,7 +66,7 @@ def one_length(vectors: DataFrame, column: str = "vector") -> int:
 def files(vectors: DataFrame) -> DataFrame:
     """(document_id, content): a file's bytes for each document."""
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("section", "vec", "range_start", "range_end", "vector")), strict=True))
         sections: dict = {}
         for s, _, a, b, v in rows:
