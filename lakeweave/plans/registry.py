@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells, query, segment, text, transforms, values, vectors
 from ..functions.docid import document_id
-from ..operators import advisory, correlate, gaps, manifest, migrate, outliers, publish, reconcile, reshape, retrieval, tickets, triage
+from ..operators import advisory, corpus as chains, correlate, gaps, manifest, migrate, outliers, publish, reconcile, reshape, retrieval, tickets, triage
 from ..sources import json_records
 from ..sources.files import media_type
 
@@ -597,6 +597,18 @@ def _(spark, sf):
     return segment.chunk_table(_texts(spark, sf)).select("document_id", "section", "chunk", F.length("text").alias("n"))
 
 
+@query_named("section_vectors")
+def _(spark, sf):
+    return chains.build(_texts(spark, sf)).select("document_id", "section", "vec", "range_start", "range_end", "vector")
+
+
+@query_named("question_hits")
+def _(spark, sf):
+    """What the parts of five conversations' first questions find: a stated few against all documents."""
+    asked = table(spark, sf, "conversations").filter("turn = 0 and conv_id < 5").select(F.col("conv_id").alias("query_id"), F.concat(F.substring("text", 1, 200), F.lit("?")).alias("query"))
+    return chains.ask(asked, chains.build(_texts(spark, sf)), _texts(spark, sf))
+
+
 @query_named("section_text", "SELECT d.doc_id::VARCHAR AS document_id, substr(text, 11, 40) AS section_text FROM documents d WHERE length(text) >= 50")
 def _(spark, sf):
     t = _texts(spark, sf)
