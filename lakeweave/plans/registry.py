@@ -83,7 +83,7 @@ def _(spark, sf):
     return triage.data_quality(triaged(spark, sf)).select("event_id", "code", "value", "low", "high", "plausible_low", "plausible_high", F.when(governed, "governed").otherwise("reference-derived").alias("basis"))
 
 
-@query_named("triage_ranked", _TRIAGE + "SELECT event_id, severity, out_by, row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'moderate' THEN 1 ELSE 2 END, out_by DESC, event_id) AS place FROM r WHERE outcome = 'finding' ORDER BY place LIMIT 100")
+@query_named("triage_ranked", _TRIAGE + "SELECT event_id, severity, out_by, (row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'moderate' THEN 1 ELSE 2 END, out_by DESC, event_id))::INTEGER AS place FROM r WHERE outcome = 'finding' ORDER BY place LIMIT 100")
 def _(spark, sf):
     best = triage.ranked(triage.findings(triaged(spark, sf)), "event_id").limit(100)
     from pyspark.sql import Window
@@ -413,7 +413,7 @@ def _(spark, sf):
     return retrieval.scores(*corpus(spark, sf)).select("query_id", "document_id", "section", F.round("score", 9).alias("score"))
 
 
-@query_named("vector_topk", _SCORED + "SELECT query_id, document_id, section, round(score, 9) AS score, rank FROM r WHERE rank <= 5")
+@query_named("vector_topk", _SCORED + "SELECT query_id, document_id, section, round(score, 9) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 5")
 def _(spark, sf):
     return retrieval.top(retrieval.scores(*corpus(spark, sf), floor=None), 5).select("query_id", "document_id", "section", F.round("score", 9).alias("score"), "rank")
 
@@ -452,7 +452,7 @@ def _(spark, sf):
     return j.select("vec_id", F.round(vectors.dot(a, b), 9).alias("dot"), F.round(vectors.cosine(a, b), 9).alias("cosine"), F.round(vectors.l2(a, b), 9).alias("l2"))
 
 
-@query_named("vector_centroid", "SELECT label, i, round(avg(x), 9) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY ALL")
+@query_named("vector_centroid", "SELECT label, i, round(avg(x), 9) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, (generate_subscripts(embedding, 1) - 1)::INTEGER AS i FROM embeddings) GROUP BY ALL")
 def _(spark, sf):
     c = retrieval.centroid(table(spark, sf, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("vector")), "label")
     return c.select("label", F.posexplode("centroid").alias("i", "x")).select("label", "i", F.round("x", 9).alias("x"))
