@@ -50,13 +50,20 @@ def rows_of(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator
     """(doc_ids, texts) in runs of about ``limit`` bytes of text, so that memory follows the run and not the batch."""
     for batch in batches:
         column = batch.column("text")
-        sizes = np.cumsum(np.asarray(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.int64))
-        start = 0
-        while start < batch.num_rows:
-            base = sizes[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(sizes, base + limit, side="right")))
+        for start, stop in slices(column, limit):
             yield batch.column("doc_id").slice(start, stop - start).to_pylist(), column.slice(start, stop - start).to_pylist()
-            start = stop
+
+
+def slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """(start, stop) of runs of a string column, each of about ``limit`` bytes or a single longer text. Nulls have none."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    sizes = np.cumsum(np.asarray(lengths, dtype=np.int64))
+    start = 0
+    while start < len(column):
+        base = sizes[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, base + limit, side="right")))
+        yield start, stop
+        start = stop
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -11,6 +11,11 @@ Sorting all suffixes of a corpus moves every byte many times, so the shards hold
 3. Shards. The different blocks of an n-gram meet in a shard, whose suffix array (induced sorting) and permuted
    common prefixes tell which strings of ``length`` bytes are equal; all but the earliest go.
 4. Spans return to their documents, where overlapping ones merge.
+
+Hot n-grams. A task sends equal blocks once: its later ones are decided on the spot. An n-gram with more than ``HOT``
+different blocks (the border of a passage that very many documents share) is no longer brought together: its strings
+are dealt by their own 128-bit digests, of which a task sends each once too. So no task holds more than ``HOT`` blocks
+of an n-gram from any other task, nor more than one place of a string.
 """
 
 from __future__ import annotations
@@ -34,9 +39,13 @@ RUN = 1 << 18
 #: Anchors a task holds before it sends them off.
 HELD = 3_000_000
 #: Bytes of blocks that one suffix array covers, unless one n-gram alone has more.
-SHARD = 2 << 20
+SHARD = 1 << 20
+#: Different blocks of one n-gram, in a task or together, from which on its strings are dealt by digest.
+HOT = 2048
 ANCHOR = np.dtype([("gram", "<u8"), ("block", "<u8"), ("doc", "<i8"), ("text", "<u4"), ("at", "<i4")])
+TAGGED = np.dtype([*ANCHOR.descr, ("kind", "u1")])
 SPAN = np.dtype([("doc", "<i8"), ("text", "<u4"), ("start", "<i4"), ("end", "<i4")])
+STRING = np.dtype([("one", "<u8"), ("two", "<u8"), ("doc", "<i8"), ("text", "<u4"), ("start", "<i4")])
 EDGE = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("text", "<u4"), ("start", "<i4"), ("size", "<i4")])
 
 
@@ -95,13 +104,21 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     return at, mixed(gram[at]), block
 
 
-def _scan(batches, length: int, buckets: int):
+def _scan(batches, length: int, buckets: int, most: int):
     held: list[np.ndarray] = []
     count = 0
 
     def send():
-        rows = np.concatenate(held) if held else np.zeros(0, ANCHOR)
-        yield from _dealt(rows, (rows["gram"] % np.uint64(buckets)).astype(np.int64), lambda part: pack(part))
+        rows = _in_order(np.concatenate(held) if held else np.zeros(0, ANCHOR))
+        if not len(rows):
+            return
+        new_block, new_gram, blocks = _groups(rows)
+        hot = new_block & (blocks > most)
+        for kind, own in ((1, rows[~new_block]), (3, rows[hot])):
+            yield from _dealt(own, home_of(own["doc"], buckets), pack, kind)
+        marks = rows[hot & new_gram]
+        for kind, own in ((0, rows[new_block & ~hot]), (4, marks)):
+            yield from _dealt(own, (own["gram"] % np.uint64(buckets)).astype(np.int64), pack, kind)
 
     for ids, run in rows_of(batches, RUN):
         raw = [t.encode() for t in run]
@@ -146,47 +163,109 @@ def home_of(doc: np.ndarray, homes: int) -> np.ndarray:
     return np.mod(np.mod(doc, 1000003), homes)
 
 
-def _group(batches, homes: int):
-    """Anchors of one part of the hash range: what repeats as a whole (kind 1) and what borders on it (kind 2), dealt by document."""
-    rows = [unpack(b, ANCHOR)[0] for batch in batches for b in batch.column("blob").to_pylist()]
-    if not rows:
-        return
-    rows = np.concatenate(rows)
+def _in_order(rows: np.ndarray) -> np.ndarray:
+    """Anchors by n-gram, block, document and place; a row that stands twice in the table counts once."""
+    rows = rows[np.lexsort((rows["at"], rows["text"], rows["doc"], rows["block"], rows["gram"]))]
+    return rows[_changed(rows, *ANCHOR.names)] if len(rows) else rows
+
+
+def _changed(rows: np.ndarray, *names: str) -> np.ndarray:
+    """Whether a row differs from the one before it in any of the columns."""
+    return np.r_[True, np.any([rows[c][1:] != rows[c][:-1] for c in names], axis=0)]
+
+
+def _groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of anchors in order: whether a block begins, whether an n-gram begins, and how many blocks each row's n-gram has."""
+    new_block, new_gram = _changed(rows, "gram", "block"), _changed(rows, "gram")
+    first = np.flatnonzero(new_gram)
+    return new_block, new_gram, np.repeat(np.add.reduceat(new_block.astype(np.int64), first), np.diff(np.r_[first, len(rows)]))
+
+
+def _group(batches, homes: int, most: int):
+    """Anchors of one part of the hash range, dealt by document: what repeats as a whole (kind 1), what borders on it (2), or does so where very much meets (3)."""
+    held, marks, out = [], [], []
+    for batch in batches:
+        for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+            rows = unpack(blob, ANCHOR)[0]
+            if kind in (1, 3):  # decided already
+                out.append(_tagged(rows, kind))
+            else:
+                (marks if kind == 4 else held).append(rows)
+    out += _grouped(held, marks, most)
+    if out:
+        rows = np.concatenate(out)
+        yield from _dealt(rows, home_of(rows["doc"], homes), pack)
+
+
+def _tagged(rows: np.ndarray, kind: int) -> np.ndarray:
+    out = np.empty(len(rows), TAGGED)
+    for c in ANCHOR.names:
+        out[c] = rows[c]
+    out["kind"] = kind
+    return out
+
+
+def _grouped(held: list[np.ndarray], marks: list[np.ndarray], most: int) -> list[np.ndarray]:
+    if not held:
+        return []
+    rows, marks = np.concatenate(held), np.unique(np.concatenate([np.zeros(0, np.uint64), *(m["gram"] for m in marks)]))
     # most n-grams occur once
     order = np.argsort(rows["gram"], kind="stable")
     gram = rows["gram"][order]
     twice = gram[1:] == gram[:-1]
-    rows = rows[order[np.r_[twice, False] | np.r_[False, twice]]]
+    rows = rows[order[np.r_[twice, False] | np.r_[False, twice] | np.isin(gram, marks)]]
     if not len(rows):
-        return
-    rows = rows[np.lexsort((rows["at"], rows["text"], rows["doc"], rows["block"], rows["gram"]))]
-    changed = lambda *names: np.r_[True, np.any([rows[c][1:] != rows[c][:-1] for c in names], axis=0)]
-    rows = rows[changed("gram", "block", "doc", "text", "at")]  # a row that stands twice in the table
-    new_block, new_gram = changed("gram", "block"), changed("gram")
-    blocks = np.add.reduceat(new_block, np.flatnonzero(new_gram))
-    several = np.repeat(blocks, np.diff(np.r_[np.flatnonzero(new_gram), len(rows)])) > 1
-    for kind, chosen in ((1, ~new_block), (2, new_block & several)):
-        own = rows[chosen]
-        yield from _dealt(own, home_of(own["doc"], homes), pack, kind)
+        return []
+    rows = _in_order(rows)
+    new_block, _, blocks = _groups(rows)
+    hot = (blocks > most) | np.isin(rows["gram"], marks)
+    return [_tagged(rows[chosen], kind) for kind, chosen in ((1, ~new_block), (2, new_block & (blocks > 1) & ~hot), (3, new_block & hot))]
+
+
+def digests(data: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the strings of ``length`` bytes at ``start``."""
+    out = []
+    value = _byte_values()[data]
+    power, undo = _powers(1 << max(12, (len(data) + 1).bit_length()))
+    for salt in (0, 1):
+        own = value if not salt else mixed(value + np.uint64(0x9E3779B97F4A7C15))
+        prefix = np.r_[np.uint64(0), np.cumsum(own * power[: len(data)])]
+        out.append(mixed((prefix[start + length] - prefix[start]) * undo[start]))
+    return out[0], out[1]
+
+
+def _first_places(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Strings in order, and whether each is at the first place of its digest; a place that stands twice counts once."""
+    rows = rows[np.lexsort((rows["start"], rows["text"], rows["doc"], rows["two"], rows["one"]))]
+    rows = rows[_changed(rows, *STRING.names)]
+    return rows, _changed(rows, "one", "two")
+
+
+def _spans_of(rows: np.ndarray, length: int) -> np.ndarray:
+    """Spans of the strings of ``length`` bytes at some places, overlapping ones merged."""
+    if not len(rows):
+        return np.zeros(0, SPAN)
+    rows = rows[np.lexsort((rows["start"], rows["text"], rows["doc"]))]
+    at = rows["start"].astype(np.int64)
+    first = np.flatnonzero(np.r_[True, (rows["doc"][1:] != rows["doc"][:-1]) | (rows["text"][1:] != rows["text"][:-1]) | (at[1:] > at[:-1] + length)])
+    out = np.empty(len(first), SPAN)
+    out["doc"], out["text"], out["start"], out["end"] = rows["doc"][first], rows["text"][first], at[first], at[np.r_[first[1:] - 1, len(at) - 1]] + length
+    return out
 
 
 def _blocks(docs: pa.Table, found: pa.Table, length: int, shards: int) -> pa.Table:
-    """Spans of whole repeated blocks (kind 1), and the bytes of the others (kind 2) dealt to shards by n-gram."""
+    """Spans of whole repeated blocks (kind 1), the bytes of the others (2) dealt to shards by n-gram, and hot strings (3) dealt by digest."""
     width = length - GRAM + 1
     empty = pa.Table.from_batches([_blobs([], [], [], [])])
     if not found.num_rows or not docs.num_rows:
         return empty
     home = found.column("home")[0].as_py()
-    rows, kinds = [], []
-    for kind, blob in zip(found.column("kind").to_pylist(), found.column("blob").to_pylist(), strict=True):
-        rows.append(unpack(blob, ANCHOR)[0])
-        kinds.append(np.full(len(rows[-1]), kind))
-    rows, kinds = np.concatenate(rows), np.concatenate(kinds)
-    order = np.lexsort((rows["text"], rows["doc"]))
-    rows, kinds = rows[order], kinds[order]
+    rows = np.concatenate([unpack(b, TAGGED)[0] for b in found.column("blob").to_pylist()])
+    rows = rows[np.lexsort((rows["text"], rows["doc"]))]
+    kinds = rows["kind"]
     cuts = np.flatnonzero((rows["doc"][1:] != rows["doc"][:-1]) | (rows["text"][1:] != rows["text"][:-1])) + 1
     first = {(int(rows["doc"][i]), int(rows["text"][i])): (i, j) for i, j in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(rows)].tolist(), strict=True)}
-    spans, edges, held = [], [], []
+    spans, edges, held, strings = [], [], [], []
     for doc, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
         raw = text.encode()
         i, j = first.pop((doc, zlib.crc32(raw)), (0, 0))
@@ -200,13 +279,26 @@ def _blocks(docs: pa.Table, found: pa.Table, length: int, shards: int) -> pa.Tab
             own = np.empty(len(runs), SPAN)
             own["doc"], own["text"], own["start"], own["end"] = doc, rows["text"][i], runs[:, 0], runs[:, 1]
             spans.append(own)
-        if not whole.all():
-            lo, hi = lo[~whole], hi[~whole]
+        hot = kinds[i:j] == 3
+        if hot.any():
+            start = np.unique(ragged(lo[hot], hi[hot] - lo[hot] - length + 1))
+            own = np.empty(len(start), STRING)
+            own["one"], own["two"] = digests(np.frombuffer(raw, np.uint8), start, length)
+            own["doc"], own["text"], own["start"] = doc, rows["text"][i], start
+            strings.append(own)
+        edge = kinds[i:j] == 2
+        if edge.any():
+            lo, hi = lo[edge], hi[edge]
             own = np.empty(len(lo), EDGE)
-            own["gram"], own["doc"], own["text"], own["start"], own["size"] = rows["gram"][i:j][~whole], doc, rows["text"][i], lo, hi - lo
+            own["gram"], own["doc"], own["text"], own["start"], own["size"] = rows["gram"][i:j][edge], doc, rows["text"][i], lo, hi - lo
             edges.append(own)
             held.append(np.frombuffer(raw, np.uint8)[ragged(lo, hi - lo)])
     out = []
+    if strings:
+        own, first = _first_places(np.concatenate(strings))
+        spans.append(_spans_of(own[~first], length))
+        own = own[first]
+        out += _dealt(own, (own["one"] % np.uint64(shards)).astype(np.int64), pack, 3)
     if spans:
         out.append(_blobs([home % shards], [1], [home], [pack(np.concatenate(spans))]))
     if edges:
@@ -219,18 +311,30 @@ def _blocks(docs: pa.Table, found: pa.Table, length: int, shards: int) -> pa.Tab
 
 
 def _shard(batches, length: int, homes: int):
-    edges, data = [], []
+    edges, data, strings, out = [], [], [], []
     for batch in batches:
         for kind, home, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "home", "blob")), strict=True):
             if kind == 1:
                 yield _blobs([home], [1], [home], [blob])
+            elif kind == 3:
+                strings.append(unpack(blob, STRING)[0])
             else:
                 own, raw = unpack(blob, EDGE)
                 edges.append(own)
                 data.append(np.frombuffer(raw, np.uint8))
-    if not edges:
-        return
-    edges, data = np.concatenate(edges), np.concatenate(data)
+    if strings:
+        own, first = _first_places(np.concatenate(strings))
+        out.append(_spans_of(own[~first], length))
+    if edges:
+        out += _by_suffixes(np.concatenate(edges), np.concatenate(data), length)
+    if out:
+        spans = np.concatenate(out)
+        yield from _dealt(spans, home_of(spans["doc"], homes), pack, 1)
+
+
+def _by_suffixes(edges: np.ndarray, data: np.ndarray, length: int) -> list[np.ndarray]:
+    """Spans to remove, by suffix arrays over blocks of some n-grams at a time."""
+    out = []
     offset = np.cumsum(edges["size"].astype(np.int64)) - edges["size"]
     order = np.argsort(edges["gram"], kind="stable")
     edges, offset = edges[order], offset[order]
@@ -241,9 +345,9 @@ def _shard(batches, length: int, homes: int):
         j = max(i + 1, int(np.searchsorted(bytes_before[grams], bytes_before[grams[i]] + SHARD, side="right")) - 1)
         stop = grams[j] if j < len(grams) else len(edges)
         own = edges[grams[i] : stop]
-        spans = repeated(own, data[ragged(offset[grams[i] : stop], own["size"].astype(np.int64))], length)
-        yield from _dealt(spans, home_of(spans["doc"], homes), pack, 1)
+        out.append(repeated(own, data[ragged(offset[grams[i] : stop], own["size"].astype(np.int64))], length))
         i = j
+    return out
 
 
 def repeated(edges: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
@@ -267,16 +371,9 @@ def repeated(edges: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
     lead = np.r_[True, g[1:] != g[:-1]]
     head = np.flatnonzero(lead)[np.cumsum(lead) - 1]
     later = (d != d[head]) | (c != c[head]) | (a != a[head])  # one place may stand in several blocks
-    d, c, a = d[later], c[later], a[later]
-    order = np.lexsort((a, c, d))
-    d, c, a = d[order], c[order], a[order].astype(np.int64)
-    if not len(d):
-        return np.zeros(0, SPAN)
-    cut = np.r_[True, (d[1:] != d[:-1]) | (c[1:] != c[:-1]) | (a[1:] > a[:-1] + length)]
-    first = np.flatnonzero(cut)
-    out = np.empty(len(first), SPAN)
-    out["doc"], out["text"], out["start"], out["end"] = d[first], c[first], a[first], a[np.r_[first[1:] - 1, len(a) - 1]] + length
-    return out
+    own = np.empty(int(later.sum()), STRING)
+    own["doc"], own["text"], own["start"] = d[later], c[later], a[later]
+    return _spans_of(own, length)
 
 
 OUT = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "spans": "array<struct<start:long,end:long>>", "kept": "binary", "kept_sha256": "string"}
@@ -309,30 +406,30 @@ def _apply(docs: pa.Table, found: pa.Table, length: int, outputs: tuple[str, ...
     return pa.Table.from_pydict(columns, schema=schema)
 
 
-def remove_repeated(docs: DataFrame, length: int = 100, outputs: tuple[str, ...] = ("n_bytes", "n_removed", "n_spans", "spans", "kept")) -> DataFrame:
+def remove_repeated(docs: DataFrame, length: int = 100, outputs: tuple[str, ...] = ("n_bytes", "n_removed", "n_spans", "spans", "kept"), hot: int = HOT) -> DataFrame:
     """Of each document what stays when every string of ``length`` bytes that also starts earlier is taken out.
 
     Returns doc_id and, of n_bytes, n_removed, n_spans, spans, kept, kept_sha256, those named. Texts are UTF-8 bytes;
     matches never cross documents. Null texts are empty; a null doc_id comes before every other; rows with one
     doc_id count in the order of their texts' checksums, and of rows equal in both the later ones repeat the first;
-    texts under ``length`` bytes stay; columns besides doc_id and text are not looked at.
+    texts under ``length`` bytes stay; ``hot`` changes the way, not the result; columns besides doc_id and text are not looked at.
     """
     kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), OUT["spans"]: pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
     schema = pa.schema([("doc_id", pa.int64()), *((c, kinds[OUT[c]]) for c in outputs)])
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return _with_spans(base, base, length, lambda d, f: _apply(d, f, length, outputs, schema), "doc_id long, " + ", ".join(f"{c} {OUT[c]}" for c in outputs))
+    return _with_spans(base, base, length, lambda d, f: _apply(d, f, length, outputs, schema), "doc_id long, " + ", ".join(f"{c} {OUT[c]}" for c in outputs), hot)
 
 
-def _with_spans(base: DataFrame, rows: DataFrame, length: int, apply, schema) -> DataFrame:
+def _with_spans(base: DataFrame, rows: DataFrame, length: int, apply, schema, hot: int = HOT) -> DataFrame:
     """``apply`` on the rows and the packed spans to remove of each home; ``base``: doc_id and text without nulls."""
     if length < GRAM + 8:
         raise ValueError(f"length must be {GRAM + 8} at least")
     n = partitions(base.sparkSession)
-    buckets, homes, shards = 4 * n, 4 * n, 4 * n
+    buckets, homes, shards = n, 2 * n, n
     at_home = lambda df: df.groupBy(F.pmod(F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.lit(1000003)), F.lit(homes)).cast("int"))
-    found = base.mapInArrow(lambda b: _scan(b, length, buckets), BLOBS).repartition(n, "to").mapInArrow(lambda b: _group(b, homes), BLOBS)
+    found = base.mapInArrow(lambda b: _scan(b, length, buckets, hot), BLOBS).repartitionById(n, "to").mapInArrow(lambda b: _group(b, homes, hot), BLOBS)
     blocks = at_home(base).cogroup(found.groupBy("home")).applyInArrow(lambda d, f: _blocks(d, f, length, shards), BLOBS)
-    spans = blocks.repartition(n, "to").mapInArrow(lambda b: _shard(b, length, homes), BLOBS)
+    spans = blocks.repartitionById(n, "to").mapInArrow(lambda b: _shard(b, length, homes), BLOBS)
     return at_home(rows).cogroup(spans.groupBy("home")).applyInArrow(apply, schema)
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, texts
+from .common import rows_of, slices, texts
 
 #: Bytes a filter spans, filters, bytes of a half chunk, hidden units.
 WIDTH, FILTERS, HALF, HIDDEN = 4, 8, 128, 12
@@ -18,6 +18,8 @@ LAGS = tuple(range(2, 34))
 #: Labelled documents of each class that the network learns from at most: a bounded sample by hash of the id.
 SAMPLE = 1200
 ROUNDS = 14
+#: Half chunks that are worked on at a time.
+BLOCK = 4096
 
 
 @dataclass
@@ -83,25 +85,31 @@ class Network:
     def parameters(self) -> list[np.ndarray]:
         return [self.filters, self.bias, self.hidden, self.hidden_bias, self.out, self.out_bias]
 
-    def responses(self, b: Batch) -> np.ndarray:
-        """Filters' responses, rectified, of each byte with the three that follow (halves, HALF, FILTERS)."""
-        flat = np.r_[b.data.ravel(), np.zeros(WIDTH - 1, np.uint8)].astype(np.uint16)
+    def tables(self) -> list[np.ndarray]:
+        """Filters by byte pairs, of which two make a filter's span."""
+        f = self.filters
+        return [(f[i][:, None, :] + f[i + 1][None, :, :]).reshape(65536, FILTERS) + (self.bias if i == 0 else 0) for i in (0, 2)]
+
+    def responses(self, b: Batch, first: int, stop: int) -> np.ndarray:
+        """Filters' responses, rectified, of the bytes of some halves with the three that follow (halves, HALF, FILTERS)."""
+        flat = b.data.ravel()[first * HALF : stop * HALF + WIDTH - 1]
+        n = (stop - first) * HALF
+        flat = np.r_[flat, np.zeros(n + WIDTH - 1 - len(flat), np.uint8)].astype(np.uint16)
         pair = flat[:-1] << 8 | flat[1:]
-        n = b.data.size
-        table = self.pairs
-        if table is None:
-            f = self.filters
-            table = [(f[i][:, None, :] + f[i + 1][None, :, :]).reshape(65536, FILTERS) + (self.bias if i == 0 else 0) for i in (0, 2)]
+        table = self.pairs or self.tables()
         z = np.take(table[0], pair[:n], axis=0)
         z += np.take(table[1], pair[2 : n + 2], axis=0)
         np.maximum(z, 0, out=z)
-        return z.reshape(-1, HALF, FILTERS)
-
-    def chunks(self, b: Batch, responses: np.ndarray, repeat: np.ndarray) -> np.ndarray:
-        """Inputs of the hidden units, by chunk."""
-        short = np.flatnonzero(b.heard < HALF)
-        responses[short] *= (np.arange(HALF) < b.heard[short, None])[:, :, None]
-        half = np.concatenate([responses.sum(axis=1), repeat], axis=1)
+        z = z.reshape(-1, HALF, FILTERS)
+        heard = b.heard[first:stop]
+        short = np.flatnonzero(heard < HALF)
+        z[short] *= (np.arange(HALF) < heard[short, None])[:, :, None]
+        return z
+
+    def chunks(self, b: Batch, repeat: np.ndarray) -> np.ndarray:
+        """Inputs of the hidden units, by chunk: responses and repeats averaged. Long texts are worked through in blocks."""
+        sums = [self.responses(b, i, min(i + BLOCK, len(b.data))).sum(axis=1) for i in range(0, len(b.data), BLOCK)]
+        half = np.concatenate([np.concatenate(sums), repeat], axis=1)
         total = half[b.chunk] + np.where(b.pair[:, None], half[np.minimum(b.chunk + 1, len(half) - 1)], 0)
         total[:, :FILTERS] /= self.both(b, b.heard)[:, None]
         total[:, FILTERS:] /= self.both(b, b.size)[:, None]
@@ -123,13 +131,13 @@ class Network:
     def scores(self, texts: list[str]) -> np.ndarray:
         b = batch_of(texts)
         repeat = repeats(b)
-        x = self.chunks(b, self.responses(b), repeat)
+        x = self.chunks(b, repeat)
         z = self.pool(b, x)[-1].astype(np.float64)
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
     def gradient(self, b: Batch, repeat: np.ndarray, label: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
-        responses = self.responses(b)
-        x = self.chunks(b, responses, repeat)
+        responses = self.responses(b, 0, len(b.data))
+        x = self.chunks(b, repeat)
         h, count, most, mean, z = self.pool(b, x)
         dz = ((1 / (1 + np.exp(-np.clip(z, -60, 60))) - label) * weight).astype(np.float32)
         pooled = np.concatenate([most, mean], axis=1)
@@ -175,8 +183,7 @@ class Network:
                     v *= 0.99
                     v += 0.01 * g * g
                     p -= rate / (1 + r / 6) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
-        f = self.filters
-        self.pairs = [(f[i][:, None, :] + f[i + 1][None, :, :]).reshape(65536, FILTERS) + (self.bias if i == 0 else 0) for i in (0, 2)]
+        self.pairs = self.tables()
         return self
 
 
@@ -227,8 +234,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample
         for batch in batches:
             keep: list[bool] = []
             column = batch.column(at)
-            for i in range(0, batch.num_rows, 256):
-                some = [t or "" for t in column.slice(i, 256).to_pylist()]
+            for start, stop in slices(column, 1 << 19):
+                some = [t or "" for t in column.slice(start, stop - start).to_pylist()]
                 z = network.scores(some) if isinstance(network, Network) else np.full(len(some), network)
                 keep += (z >= threshold).tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))
