@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import tiktoken
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
@@ -168,29 +168,24 @@ def merges(path: str) -> Merges:
 
 def words_of(text: str) -> list[str]:
     """A text's pieces between white space that every library's pattern also takes as white space."""
-    return text.split(" ") if CONTROL.search(text) else text.split()
+    return text.split(" ") if any(map(text.__contains__, CONTROL)) else text.split()
 
 
 #: White space to str.split() but not to the vocabularies' patterns.
-CONTROL = re.compile("[\x1c-\x1f]")
+CONTROL = "\x1c\x1d\x1e\x1f"
 
 
 def pretokens(tokenizer: Tokenizer, words: list[str]) -> tuple[list[list], list[str]]:
     """For each word its parts: indices into the distinct byte-level pre-tokens, or ("special", id)."""
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
     pattern = re.compile("(" + "|".join(map(re.escape, special)) + ")")
-    letters = byte_letters()
     seen: dict[str, int] = {}
     parts = []
     for word in words:
         own: list = []
-        simple = SIMPLE.fullmatch(word)
-        if simple:
-            for piece in simple.groups():
-                if piece:
-                    piece = piece.lower() if piece.isascii() else piece.lower().encode().decode("latin-1").translate(letters)
-                    own.append(seen.setdefault(piece, len(seen)))
-            parts.append(own)
+        simple = simple_parts(word)
+        if simple is not None:
+            parts.append([seen.setdefault(p, len(seen)) for p in simple])
             continue
         for piece in pattern.split(word) if "<|" in word else (word,):
             if piece in special:
@@ -212,7 +207,7 @@ def encode_words(path: str, words: list[str], merge) -> list[np.ndarray]:
 
 
 class Remembered(dict):
-    """word -> value. Looking up a word not seen yet notes it down; ``look`` then makes all their values at once.
+    """word -> place of its value. Looking up a word not seen yet notes it down; ``look`` then makes all their values at once.
 
     When half of ``limit`` words have come, they become the older half; words not looked up until the next such
     change are forgotten, which costs time and changes no result.
@@ -220,27 +215,36 @@ class Remembered(dict):
 
     def __init__(self, make, limit: int = REMEMBERED):
         super().__init__()
-        self.make, self.limit, self.open, self.older = make, limit, [], {}
+        self.make, self.limit = make, limit
+        self.values, self.open, self.places = [], [], []
+        self.older, self.older_values = {}, []
 
     def __missing__(self, word):
-        value = self.older.get(word)
-        self[word] = value
-        if value is None:
+        place = self[word] = len(self.values)
+        old = self.older.get(word)
+        if old is None:
+            self.values.append(None)
             self.open.append(word)
-        return value
+            self.places.append(place)
+        else:
+            self.values.append(self.older_values[old])
+        return place
 
     def look(self, lists: list[list[str]]) -> list[list]:
         """The values of each list's words."""
         if 2 * len(self) > self.limit:
-            self.older = dict(self)
+            self.older, self.older_values = dict(self), self.values
             self.clear()
+            self.values = []
         get = self.__getitem__
-        out = [list(map(get, words)) for words in lists]
+        places = [list(map(get, words)) for words in lists]
         if self.open:
-            fresh, self.open = self.open, []
-            self.update(zip(fresh, self.make(fresh), strict=True))
-            out = [list(map(get, words)) for words in lists]
-        return out
+            fresh, at = self.open, self.places
+            self.open, self.places = [], []
+            for place, value in zip(at, self.make(fresh), strict=True):
+                self.values[place] = value
+        value = self.values.__getitem__
+        return [list(map(value, own)) for own in places]
 
 
 def packed(encoding) -> bytes:
@@ -259,8 +263,8 @@ class SpacedEncoder:
     def __init__(self, path: str):
         self.tokenizer = library(path)
         self.words = same_by_ranks(path)
-        self.first = Remembered(lambda words: self._encode(words, ""))
-        self.rest = Remembered(lambda words: self._encode(words, " "))
+        self.first = Remembered(lambda words: self._encode(words, ""), 50_000)
+        self.rest = Remembered(lambda words: self._encode(words, " "), 500_000)  # a miss costs less here
 
     def _encode(self, words: list[str], before: str) -> list[bytes]:
         encode = self.words.encode_ordinary
@@ -302,8 +306,27 @@ def same_by_ranks(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks={bytes(back[c] for c in t): i for t, i in vocab.items()}, special_tokens={})
 
 
-#: Words whose parts are known without the library's pattern: letters that normalisation only lowers, then maybe marks.
-SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Words whose parts are known without the library's pattern: letters that normalisation only lowers, then marks (no apostrophe, which can begin a part).
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
+_LETTERS = byte_letters()
+
+
+def simple_parts(word: str) -> list[str] | None:
+    """Byte-level pre-tokens of a simple word; None for others."""
+    if word.isascii() and word.isalpha():
+        return [word.lower()]
+    m = SIMPLE.fullmatch(word)
+    if not m:
+        return None
+    letters, marks = m.groups()
+    if not letters:
+        return [marks] if marks else []
+    low = letters.lower() if letters.isascii() else letters.lower().encode().decode("latin-1").translate(_LETTERS)
+    return [low, marks] if marks else [low]
+
+
+def _spaced(parts: list[str] | None) -> str | None:
+    return None if parts is None else " ".join(parts)
 
 
 class WordEncoder:
@@ -314,21 +337,23 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = library(path)
+        self.bare = Tokenizer.from_file(path)  # the same merges on pre-tokens that are ready
+        self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.memory = Remembered(self._encode)
+        self.memory = Remembered(self._encode, 1_400_000)
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        found = list(map(SIMPLE.fullmatch, words))
-        simple = [w for w, m in zip(words, found, strict=True) if m]
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(simple)], add_special_tokens=False)[0].ids, dtype="<u4")
-        parts = np.array([2 if m[2] else 1 for m in found if m], dtype=np.int64)
-        stops = (np.flatnonzero(self.ends[ids])[np.cumsum(parts) - 1] + 1).tolist()
+        parts = [w.lower() if w.isascii() and w.isalpha() else _spaced(simple_parts(w)) for w in words]
+        simple = [p for p in parts if p]
+        ids = np.array(self.bare.encode_batch_fast([" ".join(simple)], add_special_tokens=False)[0].ids, dtype="<u4")
+        last = np.flatnonzero(self.ends[ids])  # where pre-tokens stop
+        stops = (4 * (last[np.cumsum([p.count(" ") + 1 for p in simple]) - 1] + 1)).tolist() if simple else []
         raw = ids.tobytes()
-        own = iter([raw[4 * a : 4 * b] for a, b in zip([0, *stops[:-1]], stops, strict=True)])
-        rest = iter(self.tokenizer.encode_batch_fast([w for w, m in zip(words, found, strict=True) if not m], add_special_tokens=False))
-        return [next(own) if m else packed(next(rest)) for m in found]
+        own = iter([raw[a:b] for a, b in zip([0, *stops], stops, strict=False)])
+        rest = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(words, parts, strict=True) if p is None], add_special_tokens=False))
+        return [next(own) if p else b"" if p == "" else packed(next(rest)) for p in parts]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         return list(map(b"".join, self.memory.look([words_of(t) for t in texts])))

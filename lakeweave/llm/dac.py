@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import partitions, rows_of, shared_dir, texts
+from .common import NULL_ID, partitions, rows_of, shared_dir, texts
 
 #: Bits whose ones one directory entry counts.
 BLOCK = 512
@@ -97,11 +97,27 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 1) -> No
 
     Parquet holds the segments; ``code`` is the format above. Null and empty texts are the end id alone.
     """
-    spark = docs.sparkSession
-    order = texts(docs).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    n = partitions(docs.sparkSession)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
+    # bounds from the ids alone: a range partitioning of its own would read the texts twice
+    bounds = np.array(sorted(set(ids.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else [])
+    own = texts(docs).withColumn("range", range_of(bounds)(F.coalesce("doc_id", F.lit(NULL_ID))))
+    order = own.repartitionById(n, "range").sortWithinPartitions("doc_id", F.xxhash64("text"))
     order.mapInArrow(lambda batches: _segments(batches, path, end_id), SEGMENTS).write.mode("overwrite").parquet(folder)
 
 
+def range_of(bounds: np.ndarray):
+    """Column function: the number of bounds up to an id, so that ranges follow one another as ids do."""
+
+    @F.pandas_udf("int")
+    def run(ids):
+        import pandas as pd
+
+        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right").astype(np.int32))
+
+    return run
+
+
 def _segments(batches, path, end_id):
     tokens = bpe.word_encoder(path)
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -119,7 +135,7 @@ def _segments(batches, path, end_id):
         docs, held, size = [], [], 0
         return out
 
-    for ids, run in rows_of(batches):
+    for ids, run in rows_of(batches, 1 << 20):
         for doc, own in zip(ids, tokens(run), strict=True):
             docs.append(doc)
             held.append(own + end)
@@ -143,14 +159,13 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> Data
 def _read(batches, with_ids):
     for batch in batches:
         for row in batch.to_pylist():
-            codes, at, crc, ids = Codes(row["code"]), 0, [], []
-            for n in row["counts"]:
-                own = codes.slice(at, at + n)
-                crc.append(zlib.crc32(own.astype("<u4").tobytes()))
-                if with_ids:
-                    ids.append(own.astype(np.int32))
-                at += n
+            codes = Codes(row["code"])
+            every = codes.slice(0, len(codes)).astype("<u4")
             counts = np.array(row["counts"], dtype=np.int64)
+            stops = np.cumsum(counts).tolist()
+            raw = memoryview(every.tobytes())
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+            ids = [every[a:b].astype(np.int32) for a, b in zip([0, *stops[:-1]], stops, strict=True)] if with_ids else []
             out = {"doc_id": pa.array(row["doc_ids"], pa.int64()), "start": pa.array(row["before"] + np.cumsum(counts) - counts), "n_tokens": pa.array(counts), "ids_crc32": pa.array(crc, pa.int64())}
             yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else {}))
 
