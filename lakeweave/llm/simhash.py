@@ -78,6 +78,8 @@ def covering_masks(radius: int, seed: int = 7) -> list[int]:
     return [sum(1 << i for i in range(64) if bin(int(vectors[i]) & v).count("1") % 2) for v in range(1, 1 << (radius + 1))]
 
 
+#: Shares of all rows from which a fingerprint's documents are not shuffled to one task.
+HOT_SHARE = 1024
 #: Size from which a bucket is searched by flipping bits, at a cost for each of its values that does not grow with it.
 PROBED = 300_000
 
@@ -150,14 +152,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     besides doc_id and text are not looked at.
     """
     found = cut(fingerprints(docs, shingle))
-    classes = cut(found.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NULL_ID)).alias("rep")))
+    classes = cut(found.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NULL_ID)).alias("rep"), F.count("*").alias("n")))
     edges = links(classes.select("fp"), radius)
     rep = classes.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), classes.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
     # representatives can only agree where all ids are null or one id has several texts; fingerprints are unique
     names = edges.join(rep[0], "a").join(rep[1], "b").select(F.struct(F.col("ra").alias("rep"), F.col("a").alias("fp")).alias("a"), F.struct(F.col("rb").alias("rep"), F.col("b").alias("fp")).alias("b"))
     labels = components(names).select(F.col("node.fp").alias("fp"), F.col("component.rep").alias("label"))
-    known = classes.join(labels, "fp", "left").select("fp", F.coalesce("label", "rep").alias("label"))
-    return found.join(known, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.nullif("label", F.lit(NULL_ID)).alias("component_id"))
+    known = cut(classes.join(labels, "fp", "left").select("fp", F.coalesce("label", "rep").alias("label"), "n"))
+    # fingerprints that more than a 1024th of the rows have: 1023 of them at most, so they are broadcast and not gathered
+    large = found.count() // HOT_SHARE
+    hot = F.broadcast(known.filter(F.col("n") > large).drop("n"))
+    rest = found.join(hot.select("fp"), "fp", "left_anti").join(known.filter(F.col("n") <= large).drop("n"), "fp")
+    return found.join(hot, "fp").unionByName(rest).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.nullif("label", F.lit(NULL_ID)).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
