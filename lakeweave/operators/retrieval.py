@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, entropy_count, ratio_count
 
+#: Parts into which the queries of a search are dealt; each meets each partition of the corpus in a task of its own.
+BLOCKS = 8
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -35,11 +38,15 @@ class Settings:
 def scores(corpus: DataFrame, queries: DataFrame, floor: float | None = 0.3) -> DataFrame:
     """(query_id, document_id, section, score, best_vec): of each section its vector nearest to the query, the first of equal ones.
 
-    ``corpus``: (document_id, section, vec, vector). ``queries``: (query_id, query), a stated few, broadcast; the corpus
-    stays where it is and is reduced to sections before anything is shuffled.
+    ``corpus``: (document_id, section, vec, vector). ``queries``: (query_id, query), any number: they are joined in blocks
+    and never broadcast. The corpus is shuffled once, to one row a section, so that no pair of a query and a section is
+    shuffled before the floor and the ranking have cut them.
     """
-    each = corpus.join(F.broadcast(queries)).withColumn("score", dot(F.col("query"), F.col("vector")))
-    best = each.groupBy("query_id", "document_id", "section").agg(F.max_by(F.struct("score", "vec", F.col("vector").alias("best_vec")), F.struct("score", -F.col("vec"))).alias("b"))
+    width = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sections = corpus.repartition(width, "document_id", "section").groupBy("document_id", "section").agg(F.collect_list(F.struct("vec", "vector")).alias("own"))
+    each = sections.join(queries.select("query_id", "query").repartition(BLOCKS).hint("shuffle_replicate_nl"))
+    scored = F.transform("own", lambda v: F.struct(dot(F.col("query"), v["vector"]).alias("score"), (-v["vec"]).alias("order"), v["vector"].alias("best_vec")))
+    best = each.select("query_id", "document_id", "section", F.explode(F.array(F.array_max(scored))).alias("b"))  # exploded, so that it is computed once
     out = best.select("query_id", "document_id", "section", "b.score", "b.best_vec")
     return out if floor is None else out.filter(F.col("score") >= floor)
 
@@ -136,7 +143,7 @@ def search(corpus: DataFrame, queries: DataFrame, settings: Settings = Settings(
         return out[["query_id", "rank", "document_id", "section", "score"]]
 
     typed = best.withColumns({"document_id": F.col("document_id").cast("string"), "section": F.col("section").cast("long"), "query_id": F.col("query_id").cast("long")})
-    return typed.join(F.broadcast(q.withColumn("query_id", F.col("query_id").cast("long"))), "query_id").groupBy("query_id").applyInPandas(run, HITS)
+    return typed.join(q.withColumn("query_id", F.col("query_id").cast("long")), "query_id").groupBy("query_id").applyInPandas(run, HITS)
 
 
 def with_pivots(best: DataFrame, corpus: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -398,9 +398,13 @@ def _(spark, sf):
 
 
 # --- vectors ------------------------------------------------------------------------------------------------------
-def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+#: The queries of whole searches, and the ten to which the SQL of the older queries is bound.
+ASKED, FIRST_TEN = "vec_id % 100 = 0", "vec_id < 10"
+
+
+def corpus(spark: SparkSession, sf_dir: str, asked: str = ASKED) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.concat(F.lit("doc"), F.col("label")).alias("document_id"), F.floor(F.col("vec_id") / 5).alias("section"), (F.col("vec_id") % 5).alias("vec"), F.col("embedding").alias("vector")), e.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return e.select(F.concat(F.lit("doc"), F.col("label")).alias("document_id"), F.floor(F.col("vec_id") / 5).alias("section"), (F.col("vec_id") % 5).alias("vec"), F.col("embedding").alias("vector")), e.filter(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
@@ -408,34 +412,45 @@ _SCORED = f"""WITH q AS (SELECT vec_id AS query_id, embedding AS query FROM embe
 b AS (SELECT query_id, document_id, section, max(score) AS score FROM s GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, section) AS rank FROM b) """
 
 
-@query_named("section_best", _SCORED + "SELECT query_id, document_id, section, round(score, 9) AS score FROM b WHERE score >= 0.3")
-def _(spark, sf):
-    return retrieval.scores(*corpus(spark, sf)).select("query_id", "document_id", "section", F.round("score", 9).alias("score"))
+def scored_query(name: str, sql: str):
+    """Registers a query of (spark, folder, which rows ask) twice: as its SQL has it, and with ``_whole`` for all that are asked."""
 
+    def add(f):
+        query_named(name, _SCORED + sql)(lambda spark, sf: f(spark, sf, FIRST_TEN))
+        query_named(f"{name}_whole", _SCORED.replace(FIRST_TEN, ASKED) + sql)(lambda spark, sf: f(spark, sf, ASKED))
+        return f
 
-@query_named("vector_topk", _SCORED + "SELECT query_id, document_id, section, round(score, 9) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 5")
-def _(spark, sf):
-    return retrieval.top(retrieval.scores(*corpus(spark, sf), floor=None), 5).select("query_id", "document_id", "section", F.round("score", 9).alias("score"), "rank")
+    return add
 
 
-@query_named("union_hits", _SCORED + "SELECT document_id, section, round(max(score), 9) AS score FROM r WHERE rank <= 5 GROUP BY ALL")
-def _(spark, sf):
-    return retrieval.union_hits(retrieval.top(retrieval.scores(*corpus(spark, sf), floor=None), 5)).withColumn("score", F.round("score", 9))
+@scored_query("section_best", "SELECT query_id, document_id, section, round(score, 9) AS score FROM b WHERE score >= 0.3")
+def _(spark, sf, asked):
+    return retrieval.scores(*corpus(spark, sf, asked)).select("query_id", "document_id", "section", F.round("score", 9).alias("score"))
 
 
-@query_named("effective_counts", _SCORED + "SELECT query_id, count(*) AS n, greatest(1, least(ceil(exp(ln(sum(score)) - sum(score * ln(score)) / sum(score)) - 1e-9)::BIGINT, count(*))) AS k FROM r WHERE rank <= 30 AND score > 0 GROUP BY query_id")
-def _(spark, sf):
-    return retrieval.entropy_counts(retrieval.top(retrieval.scores(*corpus(spark, sf), floor=None), 30))
+@scored_query("vector_topk", "SELECT query_id, document_id, section, round(score, 9) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 5")
+def _(spark, sf, asked):
+    return retrieval.top(retrieval.scores(*corpus(spark, sf, asked), floor=None), 5).select("query_id", "document_id", "section", F.round("score", 9).alias("score"), "rank")
 
 
-@query_named("cliff_counts", _SCORED + ", l AS (SELECT query_id, rank, lag(score) OVER (PARTITION BY query_id ORDER BY rank) / score AS fall FROM r WHERE rank <= 30 AND score > 0), c AS (SELECT query_id, max(fall) AS fall, arg_max(rank, fall) AS place, max(rank) AS n FROM l GROUP BY 1) SELECT query_id, CASE WHEN fall >= 1.05 THEN place - 1 ELSE n END AS k FROM c")
-def _(spark, sf):
-    return retrieval.cliffs(retrieval.top(retrieval.scores(*corpus(spark, sf), floor=None), 30).filter("score > 0"), 1.05)
+@scored_query("union_hits", "SELECT document_id, section, round(max(score), 9) AS score FROM r WHERE rank <= 5 GROUP BY ALL")
+def _(spark, sf, asked):
+    return retrieval.union_hits(retrieval.top(retrieval.scores(*corpus(spark, sf, asked), floor=None), 5)).withColumn("score", F.round("score", 9))
 
 
-@query_named("score_statistics", _SCORED + ", t AS (SELECT *, score / sum(score) OVER (PARTITION BY query_id) AS p FROM r WHERE rank <= 10), z AS (SELECT query_id, count(*) AS n, min(score) AS least, max(score) AS most, avg(score) AS mean, -sum(CASE WHEN p > 0 THEN p * log2(p) END) AS entropy FROM t GROUP BY 1) SELECT query_id, n, round(least, 9) AS least, round(most, 9) AS most, round(mean, 9) AS mean, round(entropy, 9) AS entropy, CASE WHEN entropy / log2(n) < 0.5 THEN 'peaky' WHEN entropy / log2(n) < 0.85 THEN 'moderate' ELSE 'flat' END AS label FROM z")
-def _(spark, sf):
-    s = retrieval.statistics(retrieval.top(retrieval.scores(*corpus(spark, sf), floor=None), 10))
+@scored_query("effective_counts", "SELECT query_id, count(*) AS n, greatest(1, least(ceil(exp(ln(sum(score)) - sum(score * ln(score)) / sum(score)) - 1e-9)::BIGINT, count(*))) AS k FROM r WHERE rank <= 30 AND score > 0 GROUP BY query_id")
+def _(spark, sf, asked):
+    return retrieval.entropy_counts(retrieval.top(retrieval.scores(*corpus(spark, sf, asked), floor=None), 30))
+
+
+@scored_query("cliff_counts", ", l AS (SELECT query_id, rank, lag(score) OVER (PARTITION BY query_id ORDER BY rank) / score AS fall FROM r WHERE rank <= 30 AND score > 0), c AS (SELECT query_id, max(fall) AS fall, arg_max(rank, fall) AS place, max(rank) AS n FROM l GROUP BY 1) SELECT query_id, CASE WHEN fall >= 1.05 THEN place - 1 ELSE n END AS k FROM c")
+def _(spark, sf, asked):
+    return retrieval.cliffs(retrieval.top(retrieval.scores(*corpus(spark, sf, asked), floor=None), 30).filter("score > 0"), 1.05)
+
+
+@scored_query("score_statistics", ", t AS (SELECT *, score / sum(score) OVER (PARTITION BY query_id) AS p FROM r WHERE rank <= 10), z AS (SELECT query_id, count(*) AS n, min(score) AS least, max(score) AS most, avg(score) AS mean, -sum(CASE WHEN p > 0 THEN p * log2(p) END) AS entropy FROM t GROUP BY 1) SELECT query_id, n, round(least, 9) AS least, round(most, 9) AS most, round(mean, 9) AS mean, round(entropy, 9) AS entropy, CASE WHEN entropy / log2(n) < 0.5 THEN 'peaky' WHEN entropy / log2(n) < 0.85 THEN 'moderate' ELSE 'flat' END AS label FROM z")
+def _(spark, sf, asked):
+    s = retrieval.statistics(retrieval.top(retrieval.scores(*corpus(spark, sf, asked), floor=None), 10))
     return s.select("query_id", "n", *(F.round(c, 9).alias(c) for c in ("least", "most", "mean", "entropy")), "label")
 
 

@@ -1,11 +1,14 @@
 """Retrieval, segmentation and query analysis."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lakeweave.functions import query, segment, text, vectors
 from lakeweave.operators import retrieval
+from lakeweave.plans import registry
 
 
 def one(spark, f, *values):
@@ -131,3 +134,21 @@ def test_analysis(spark):
     df = spark.createDataFrame([(1, "Hello! what is it?? Why?"), (2, "thanks"), (3, None)], "query_id int, query string")
     got = {r.query_id: (r.greeting, r.segments) for r in query.analyze(df).collect()}
     assert got == {1: (True, ["what is it?", "Why?"]), 2: (True, []), 3: (False, [])}
+
+
+def test_searches_ask_every_hundredth_vector(spark, sf):
+    asked = {0, 100, 200, 300, 400}
+    for name in ("vector_search", "vector_search_pivot", "hit_suggestions", "position_changes", "vector_topk_whole"):
+        assert {r.query_id for r in registry.QUERIES[name](spark, sf).select("query_id").collect()} == asked, name
+
+
+def test_scores_in_blocks_miss_no_pair(spark):
+    r = random.Random(1)
+    rows = [("d", i // 3, i % 3, [r.uniform(-1, 1) for _ in range(4)]) for i in range(60)]
+    corpus = spark.createDataFrame(rows, "document_id string, section long, vec long, vector array<double>").repartition(3)
+    asked = [(100 * i, [r.uniform(-1, 1) for _ in range(4)]) for i in range(25)]
+    scored = retrieval.scores(corpus, spark.createDataFrame(asked, "query_id long, query array<double>"), floor=None)
+    assert "BroadcastNestedLoopJoin" not in scored._jdf.queryExecution().executedPlan().toString()
+    want = {(q, s): max(sum(x * y for x, y in zip(v, w, strict=True)) for _, t, _, w in rows if t == s) for q, v in asked for s in range(20)}
+    got = {(x.query_id, x.section): x.score for x in scored.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
