@@ -551,11 +551,8 @@ def _(spark, sf):
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as questions, some of them with a greeting or a second question."""
-    c = table(spark, sf_dir, "conversations")
-    head = F.substring("text", 1, 80)
-    made = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("Hello! "), head, F.lit("?"))).when(F.col("turn") % 4 == 1, F.concat(head, F.lit("??? And what NOW, damn"))).when(F.col("turn") % 4 == 2, F.lit("thanks!!!")).otherwise(head)
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), made.alias("query"))
+    """Every turn's whole text as a question."""
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
 
 
 @query_named("query_analysis")

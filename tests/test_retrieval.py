@@ -152,3 +152,22 @@ def test_scores_in_blocks_miss_no_pair(spark):
     want = {(q, s): max(sum(x * y for x, y in zip(v, w, strict=True)) for _, t, _, w in rows if t == s) for q, v in asked for s in range(20)}
     got = {(x.query_id, x.section): x.score for x in scored.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+@pytest.fixture
+def spoken(spark, tmp_path):
+    """A folder of conversations whose signs stand late in their texts or in a turn of any number."""
+    late = "the report of last week is still not there " * 4
+    said = [(0, 0, late + "when is it done? And why so late?"), (0, 1, late + "hurry, damn!!! Thank you!"), (1, 2, "Hello! where is it"), (1, 3, late + "fine. Thanks."), (100, 0, late + "WHY IS THIS SO LATE,, AND WHO DOES IT?!"), (100, 2, None)]
+    spark.createDataFrame([(c, t, "user", x) for c, t, x in said], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    return str(tmp_path), {c * 1000 + t: x for c, t, x in said}
+
+
+def test_questions_are_read_to_their_end_in_every_turn(spark, spoken):
+    folder, said = spoken
+    got = {r.query_id: r for r in registry.QUERIES["query_analysis"](spark, folder).collect()}
+    assert {k: r.query for k, r in got.items()} == said
+    assert [got[k].greeting for k in (0, 1, 1002, 1003, 100000, 100002)] == [False, True, True, True, False, False]
+    assert got[0].segments[-2:] == [said[0][:-17].strip(), "And why so late?"] and got[1].frustration > 0.2 and got[1002].bare == "where is it"
+    parts = {r.query_id: (r.several, r.parts) for r in registry.QUERIES["multi_part"](spark, folder).collect()}
+    assert parts[0] == (True, 2) and parts[1002] == (True, 2) and parts[100002] == (False, 0)
