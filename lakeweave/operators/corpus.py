@@ -81,6 +81,10 @@ def generate(sources: DataFrame, write: Callable[[str], str], classify: Callable
     return made.select("source", text.file_name(F.col("markdown")).alias("file"), "theme", "markdown", "error")
 
 
+#: More than a text has parts: a part's id is its question's times this and its place.
+PARTS = 1 << 20
+
+
 def ask(queries: DataFrame, vectors: DataFrame, docs: DataFrame, embed: Embed = hash_embed, settings: retrieval.Settings = retrieval.Settings(), labels: DataFrame | None = None) -> DataFrame:
     """(query_id, place, document_id, section, score, section_text): what each question's parts find, united, with text; twelve at most a question.
 
@@ -89,9 +93,9 @@ def ask(queries: DataFrame, vectors: DataFrame, docs: DataFrame, embed: Embed =
     parts = query.analyze(queries).select("query_id", F.posexplode("segments").alias("part", "segment")).filter("segment <> ''")
     if labels is not None:
         parts = retrieval.searchable(parts.join(labels, ["query_id", "part"], "left").fillna({"label": "", "score": 0.0})).select("query_id", "part", "segment")
-    asked = with_vectors(parts, "segment", embed, "query").withColumn("part_id", F.col("query_id") * 1_000 + F.col("part"))
+    asked = with_vectors(parts, "segment", embed, "query").withColumn("part_id", F.col("query_id") * PARTS + F.col("part"))
     hits = retrieval.search(vectors.select("document_id", "section", "vec", "vector"), asked.select(F.col("part_id").alias("query_id"), "query"), settings)
-    own = hits.withColumn("query_id", F.floor(F.col("query_id") / 1_000)).groupBy("query_id", "document_id", "section").agg(F.max("score").alias("score"))
+    own = hits.withColumn("query_id", F.shiftright("query_id", 20)).groupBy("query_id", "document_id", "section").agg(F.max("score").alias("score"))
     ranges = vectors.select("document_id", F.col("section").cast("long").alias("section"), "range_start", "range_end").distinct()
     found = retrieval.with_text(own.join(ranges, ["document_id", "section"]), docs)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "section")

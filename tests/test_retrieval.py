@@ -171,3 +171,11 @@ def test_questions_are_read_to_their_end_in_every_turn(spark, spoken):
     assert got[0].segments[-2:] == [said[0][:-17].strip(), "And why so late?"] and got[1].frustration > 0.2 and got[1002].bare == "where is it"
     parts = {r.query_id: (r.several, r.parts) for r in registry.QUERIES["multi_part"](spark, folder).collect()}
     assert parts[0] == (True, 2) and parts[1002] == (True, 2) and parts[100002] == (False, 0)
+
+
+def test_question_hits_asks_whole_hundredth_conversations(spark, spoken):
+    folder, _ = spoken
+    body = "# Lateness\n\nwhy is this so late, and who does it. The report of last week is still not there. Thus why so late, and why.\n\n# Other\n\nA quite different thing is told about here, with other words in every line."
+    spark.createDataFrame([(1, body)], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    got = registry.QUERIES["question_hits"](spark, folder).collect()
+    assert {r.query_id for r in got} == {0, 1, 100000}
