@@ -572,6 +572,11 @@ def _(spark, sf):
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.round(query.frustration(asked)["score"], 9).alias("score"))
 
 
+@query_named("frustration_whole")
+def _(spark, sf):
+    return _asked(spark, sf).select("query_id", F.round(query.frustration(F.col("query"))["score"], 9).alias("score"))
+
+
 @query_named("greeting_peel", "SELECT conv_id * 1000 + turn AS query_id, CASE turn % 4 WHEN 0 THEN 'where is it?' WHEN 1 THEN 'thanks for it' WHEN 2 THEN '' ELSE 'all done.' END AS bare FROM conversations")
 def _(spark, sf):
     c = table(spark, sf, "conversations")
@@ -579,11 +584,21 @@ def _(spark, sf):
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), query.without_greeting(asked).alias("bare"))
 
 
+@query_named("greeting_peel_whole")
+def _(spark, sf):
+    return _asked(spark, sf).select("query_id", query.without_greeting(F.col("query")).alias("bare"))
+
+
 @query_named("collapse_punctuation", "SELECT conv_id * 1000 + turn AS query_id, 'so! yes, well; no. end?' AS said FROM conversations")
 def _(spark, sf):
     return table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), text.collapse_punctuation(F.lit("so!!! yes,, well;; no... end??!")).alias("said"))
 
 
+@query_named("collapse_punctuation_whole", r"SELECT conv_id * 1000 + turn AS query_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([!?])[!?]+', '\1', 'g'), ',+', ',', 'g'), '\.+', '.', 'g'), ';+', ';', 'g'), ':+', ':', 'g') AS said FROM conversations")
+def _(spark, sf):
+    return _asked(spark, sf).select("query_id", text.collapse_punctuation(F.col("query")).alias("said"))
+
+
 @query_named("spelling", "WITH w AS (SELECT DISTINCT p_name AS word FROM part) SELECT word, word AS suggestion FROM w")
 def _(spark, sf):
     p = table(spark, sf, "part").select("p_name").distinct()

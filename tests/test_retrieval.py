@@ -179,3 +179,13 @@ def test_question_hits_asks_whole_hundredth_conversations(spark, spoken):
     spark.createDataFrame([(1, body)], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
     got = registry.QUERIES["question_hits"](spark, folder).collect()
     assert {r.query_id for r in got} == {0, 1, 100000}
+
+
+def test_whole_texts_are_scored(spark, spoken):
+    folder, said = spoken
+    rows = lambda name, c: {r.query_id: r[c] for r in registry.QUERIES[name](spark, folder).collect()}
+    bare = rows("greeting_peel_whole", "bare")
+    assert bare[1] == said[1][: -len(" Thank you!")] and bare[1002] == "where is it" and bare[1003] == said[1003][: -len(" Thanks.")] and bare[100002] == ""
+    score = rows("frustration_whole", "score")  # 0.2 for marks in excess by five, 0.25 for two urgent words, 0.4 for a heavy word
+    assert score[0] == 0 and score[1] == round(0.2 * 2 / 5 + 0.25 / 2 + 0.4 * 0.6, 9) and score[100002] == 0
+    assert rows("collapse_punctuation_whole", "said")[100000] == said[100000].replace(",,", ",").replace("?!", "?")
