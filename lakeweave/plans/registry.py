@@ -605,6 +605,16 @@ def _(spark, sf):
     return query.suggest(p.select(F.col("p_name").alias("word")), p.select(F.col("p_name").alias("entry")), within=1)
 
 
+@query_named("spelling_errors")
+def _(spark, sf):
+    """Every part's name with its second letter left out, and with its last two changed round, looked up among the names at up to two edits."""
+    p = table(spark, sf, "part").select("p_name").distinct()
+    n = F.length("p_name")
+    without = F.concat(F.substring("p_name", 1, 1), F.substring("p_name", F.lit(3), n))
+    turned = F.concat(F.substring("p_name", F.lit(1), n - 2), F.reverse(F.substring("p_name", -2, 2)))
+    return query.suggest(p.select(F.explode(F.array(without, turned)).alias("word")), p.select(F.col("p_name").alias("entry")))
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
 

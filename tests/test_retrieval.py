@@ -189,3 +189,22 @@ def test_whole_texts_are_scored(spark, spoken):
     score = rows("frustration_whole", "score")  # 0.2 for marks in excess by five, 0.25 for two urgent words, 0.4 for a heavy word
     assert score[0] == 0 and score[1] == round(0.2 * 2 / 5 + 0.25 / 2 + 0.4 * 0.6, 9) and score[100002] == 0
     assert rows("collapse_punctuation_whole", "said")[100000] == said[100000].replace(",,", ",").replace("?!", "?")
+
+
+def test_spelling_errors_are_put_right(spark, sf):
+    names = {r.p_name for r in spark.read.parquet(f"{sf}/part.parquet").select("p_name").distinct().collect()}
+    got = {r.word: r.suggestion for r in registry.QUERIES["spelling_errors"](spark, sf).collect()}
+    assert got.keys() == {w for n in names for w in (n[:1] + n[2:], n[:-2] + n[-2:][::-1])}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a.lower(), 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b.lower(), 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for word in sorted(got)[:40]:
+        d, entry = min((edits(word, n), n) for n in names)
+        assert got[word] == (entry if d <= 2 else word)
+    assert any(w != s for w, s in got.items())
