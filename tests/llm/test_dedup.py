@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lakeweave.llm import components, dedup, merkle, simhash, suffix
+from lakeweave.llm import components, dedup, jaccard, merkle, simhash, suffix
 
 
 def test_suffix_arrays_and_prefixes():
@@ -203,3 +203,43 @@ def test_compare_with_next(docs, rows, none):
 def test_lone_row_follows_itself(spark):
     r = merkle.compare_with_next(spark.createDataFrame([(5, "abcdef")], "doc_id long, text string")).first()
     assert r.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and r.near_next == 1.0
+
+
+def slow_groups(rows, least=0.8):
+    """Brute force: groups of rows by steps of an exact five-word Jaccard similarity."""
+    def of(t):
+        w = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        return frozenset(" ".join(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([" ".join(w)] if w else [])
+
+    sets = [of(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if group[i] != group[j] and (a == sets[j] or len(a & sets[j]) >= least * len(a | sets[j])):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return group
+
+
+def test_one_row_of_each_group_of_near_copies(spark, docs, rows, none):
+    r = random.Random(12)
+    text = lambda n: [f"w{r.randrange(900)}" for _ in range(n)]
+    made = []
+    for i in range(30):  # copies with edits, a third of the ids null, an id with two texts
+        w = text(r.randint(60, 200))
+        for k in range(3):
+            v = list(w)
+            for _ in range(k and r.randint(1, 6)):
+                v[r.randrange(len(v))] = "edited"
+            made.append((None if (i + k) % 3 == 0 else 5000 + i if k < 2 else 5000 + (i + 1) % 30, " ".join(v)))
+    made += [(None, "same without an id " * 9)] * 2
+    for df, own in ((docs, rows), (spark.createDataFrame(made, "doc_id long, text string").repartition(3), made)):
+        got = jaccard.one_of_each(df)
+        assert got.columns == df.columns
+        group = slow_groups(own)
+        best = {}
+        for g, (d, t) in zip(group, own, strict=True):
+            key = (d is None, d or 0, hashlib.md5((t or "").encode()).hexdigest())
+            best[g] = min(best.get(g, key), key)
+        assert Counter((x.doc_id is None, x.doc_id or 0, hashlib.md5((x.text or "").encode()).hexdigest()) for x in got.collect()) == Counter(best.values())
+    assert jaccard.one_of_each(none).count() == 0
