@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import partial
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -80,66 +79,100 @@ def covering_masks(radius: int, seed: int = 7) -> list[int]:
 
 #: Shares of all rows from which a fingerprint's documents are not shuffled to one task.
 HOT_SHARE = 1024
-#: Size from which a bucket is searched by flipping bits, at a cost for each of its values that does not grow with it.
-PROBED = 300_000
+#: Values of a bucket from which the bucket is dealt anew, by the parts of the bits in which its values can differ.
+SPLIT = 50_000
+#: Values that are compared one by one; more are first told apart by parts of their free bits.
+COMPARED = 1024
 
 
-def linked(values: np.ndarray, radius: int, free: int, probed: int = PROBED) -> list[tuple[int, int]]:
+def parts_of(free: int, radius: int) -> list[int]:
+    """The bits of ``free`` dealt to radius + 1 parts: values that differ in ``radius`` of them agree in one part."""
+    bits = [1 << i for i in range(64) if free >> i & 1]
+    return [sum(bits[i :: radius + 1]) for i in range(radius + 1)]
+
+
+def linked(values: np.ndarray, radius: int, free: int, compared: int = COMPARED) -> list[tuple[int, int]]:
     """Links that connect exactly those of the distinct ``values`` that steps of ``radius`` differing bits connect.
 
-    ``free``: the bits in which they can differ. A tree for each connected set, not all of its pairs.
+    ``free``: the bits in which they can differ. A tree for each connected set, not all of its pairs. What is more than
+    ``compared`` is split by each of radius + 1 parts of the free bits, in one of which any two near values agree, so
+    that the work follows the number of values and not its square.
     """
+    if len(values) > compared and bin(free).count("1") > radius:
+        out = []
+        for part in parts_of(free, radius):
+            key = values & np.uint64(part)
+            order = np.argsort(key, kind="stable")
+            own, key = values[order], key[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(own)], strict=True):
+                if j - i > 1:
+                    out += linked(own[i:j], radius, free & ~part, compared)
+        return out
     out = []
     rest = np.sort(values)
     while len(rest) > 1:
         root, front, rest = rest[0], rest[:1], rest[1:]
         while len(front) and len(rest):
             hit = np.zeros(len(rest), dtype=bool)
-            if len(rest) > probed:
-                bits = [1 << i for i in range(64) if free >> i & 1]
-                for flip in (sum(c) for n in range(1, radius + 1) for c in combinations(bits, n)):
-                    near = front ^ np.uint64(flip)
-                    at = np.minimum(np.searchsorted(rest, near), len(rest) - 1)
-                    hit[at[rest[at] == near]] = True
-            else:
-                for i in range(0, len(front), 64):
-                    hit |= (np.bitwise_count(front[i : i + 64, None] ^ rest[None, :]) <= radius).any(axis=0)
+            for i in range(0, len(front), 64):
+                hit |= (np.bitwise_count(front[i : i + 64, None] ^ rest[None, :]) <= radius).any(axis=0)
             out += [(int(root), int(x)) for x in rest[hit]]
             front, rest = rest[hit], rest[~hit]
     return out
 
 
-def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
+def _signed(x: int) -> int:
+    return x - 2**64 if x >= 2**63 else x
+
+
+def links(distinct: DataFrame, radius: int = 3, split: int = SPLIT) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that connect what differs in ``radius`` bits or fewer.
 
     One table for each mask; fingerprints that agree under it meet, and are compared there. Buckets come sorted out
-    of the shuffle and are worked off one by one.
+    of the shuffle and are worked off one by one. A bucket of more than ``split`` fingerprints (or a 2048th of all, so
+    that the broadcast list of them has 32,000 rows at most) is dealt to radius + 1 times as many, by parts of the bits
+    that its mask leaves free; any two near ones still meet in one of these.
     """
     spark = distinct.sparkSession
     masks = covering_masks(radius)
-    signed = lambda x: x - 2**64 if x >= 2**63 else x
-    tables = F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("key")) for i, m in enumerate(masks)))
-    dealt = distinct.select("fp", F.explode(tables).alias("t")).select("t.mask", "t.key", "fp").repartition(partitions(spark), "mask", "key").sortWithinPartitions("mask", "key", "fp")
+    tables = F.array(*(F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for i, m in enumerate(masks)))
+    dealt = distinct.select("fp", F.explode(tables).alias("t")).select("t.mask", "t.key", "fp")
+    n = distinct.count()
+    large = max(split, n // 2048)
+    hot = cut(dealt.groupBy("mask", "key").count().filter(F.col("count") > large).select("mask", "key", F.lit(True).alias("hot"))) if n > large else None
+    if hot is not None and hot.limit(1).count():
+        keys = F.array(*(F.array(*(F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(p)).cast("long")).alias("more")) for k, p in enumerate(parts_of(2**64 - 1 & ~m, radius)))) for m in masks))
+        whole = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("more")))
+        dealt = dealt.join(F.broadcast(hot), ["mask", "key"], "left").select("mask", "key", F.explode(F.when(F.col("hot"), F.element_at(keys, F.col("mask") + 1)).otherwise(whole)).alias("p"), "fp").select("mask", "key", "p.part", "p.more", "fp")
+    else:
+        dealt = dealt.select("mask", "key", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("more"), "fp")
+    names = ("mask", "key", "part", "more", "fp")
+    dealt = dealt.repartition(partitions(spark), "mask", "key", "part", "more").sortWithinPartitions(*names)
 
     def run(batches):
-        mask, key, fp = (np.zeros(0, dtype=np.int64) for _ in range(3))
+        held = [np.zeros(0, dtype=np.int64) for _ in names]
         for batch in batches:
-            mask, key, fp = (np.r_[old, batch.column(c).to_numpy()] for old, c in zip((mask, key, fp), ("mask", "key", "fp"), strict=True))
-            first = np.flatnonzero(np.r_[True, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])]) if len(fp) else np.zeros(0, dtype=np.int64)
+            held = [np.r_[old, batch.column(c).to_numpy()] for old, c in zip(held, names, strict=True)]
+            first = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in held[:4]], axis=0)]) if len(held[0]) else np.zeros(0, dtype=np.int64)
             if len(first) > 1:  # the last bucket may go on
-                yield _within(mask, fp, first, radius, masks)
-                mask, key, fp = mask[first[-1] :], key[first[-1] :], fp[first[-1] :]
-        if len(fp):
-            yield _within(mask, fp, np.array([0, len(fp)]), radius, masks)
+                yield _within(held, first, radius, masks)
+                held = [c[first[-1] :] for c in held]
+        if len(held[0]):
+            yield _within(held, np.array([0, len(held[0])]), radius, masks)
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _within(mask, fp, first, radius, masks) -> pa.RecordBatch:
+def _within(held, first, radius, masks) -> pa.RecordBatch:
+    mask, _, part, _, fp = held
     found = []
     for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if j - i > 1:
-            found += linked(fp[i:j].view(np.uint64), radius, ~masks[mask[i]] & (2**64 - 1))
+            free = 2**64 - 1 & ~masks[mask[i]]
+            if part[i] >= 0:
+                free &= ~parts_of(free, radius)[part[i]]
+            found += linked(fp[i:j].view(np.uint64), radius, free)
     pairs = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
     return pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
@@ -148,31 +181,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     """doc_id, fp, fingerprint (hex) and component_id: the smallest doc_id that links of ``radius`` bits or fewer reach.
 
     Null and empty texts, and those without words, have fingerprint zero and are linked like any other. Repeated
-    rows stay; a null doc_id is reached like others but names a component only if that holds no other id. Columns
-    besides doc_id and text are not looked at.
+    rows, and rows of one doc_id with several texts, stay; a null doc_id is reached like others but names a component
+    only if that holds no other id (component_id is null then). An empty table gives no rows. Columns besides doc_id
+    and text, whatever their names, are not looked at.
     """
     found = cut(fingerprints(docs, shingle))
-    classes = cut(found.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NULL_ID)).alias("rep"), F.count("*").alias("n")))
+    # a class is known by its least id, a null one last, then by its fingerprint: so no two classes are alike
+    name = F.struct(F.min("doc_id").isNull().alias("no_id"), F.coalesce(F.min("doc_id"), F.lit(0)).alias("id"), F.col("fp"))
+    classes = cut(found.groupBy("fp").agg(F.count("*").alias("n"), name.alias("name")))
     edges = links(classes.select("fp"), radius)
-    rep = classes.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), classes.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
-    # representatives can only agree where all ids are null or one id has several texts; fingerprints are unique
-    names = edges.join(rep[0], "a").join(rep[1], "b").select(F.struct(F.col("ra").alias("rep"), F.col("a").alias("fp")).alias("a"), F.struct(F.col("rb").alias("rep"), F.col("b").alias("fp")).alias("b"))
-    labels = components(names).select(F.col("node.fp").alias("fp"), F.col("component.rep").alias("label"))
-    known = cut(classes.join(labels, "fp", "left").select("fp", F.coalesce("label", "rep").alias("label"), "n"))
+    one, other = (classes.select(F.col("fp").alias(c), F.col("name").alias(f"name_{c}")) for c in "ab")
+    labels = components(edges.join(one, "a").join(other, "b").select(F.col("name_a").alias("a"), F.col("name_b").alias("b")))
+    labels = labels.select(F.col("node.fp").alias("fp"), F.col("component").alias("label"))
+    known = classes.join(labels, "fp", "left").select("fp", F.coalesce("label", "name").alias("label"), "n")
+    known = cut(known.select("fp", F.when(~F.col("label.no_id"), F.col("label.id")).alias("component_id"), "n"))
     # fingerprints that more than a 1024th of the rows have: 1023 of them at most, so they are broadcast and not gathered
     large = found.count() // HOT_SHARE
     hot = F.broadcast(known.filter(F.col("n") > large).drop("n"))
     rest = found.join(hot.select("fp"), "fp", "left_anti").join(known.filter(F.col("n") <= large).drop("n"), "fp")
-    return found.join(hot, "fp").unionByName(rest).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.nullif("label", F.lit(NULL_ID)).alias("component_id"))
-
-
-def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The rows with all their columns, of each group of near duplicates (``near_duplicates``) the one with the smallest doc_id.
-
-    Of rows that repeat a doc_id one stays. Rows without an id stay where their group holds no id.
-    """
-    found = cut(near_duplicates(docs, shingle, radius).select("doc_id", "component_id"))
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    again = kept.filter("kept_id is not null").groupBy("kept_id").count().filter("count > 1").limit(1).count()
-    out = docs.join(kept.distinct(), docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    return out.filter("doc_id is null").unionByName(out.filter("doc_id is not null").dropDuplicates(["doc_id"])) if again else out
+    return found.join(hot, "fp").unionByName(rest).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

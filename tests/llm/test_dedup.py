@@ -105,13 +105,36 @@ def test_near_duplicates(docs, rows, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-def test_one_of_each(docs, rows, none):
-    out = simhash.one_of_each(docs)
-    assert out.columns == docs.columns
-    kept = [r.doc_id for r in out.collect() if r.doc_id is not None]
-    want = {c for d, _, c in slow_components(rows) if c is not None}
-    assert sorted(kept) == sorted(want)
-    assert simhash.one_of_each(none).count() == 0
+def test_null_ids_do_not_name_a_component(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    near = next(t for k in range(200) for t in [text.replace(f"w{k} ", "", 1)] if 0 < bin(slow_fingerprint(t) ^ slow_fingerprint(text)).count("1") <= 3)
+    other = "quite another text " * 5
+    rows = [(None, text), (7, near), (9, near), (None, other), (None, other), (11, None), (11, text)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "fingerprint", "component_id").collect()
+    assert Counter(map(tuple, got)) == slow_components(rows)
+    assert {r.component_id for r in got if r.doc_id in (7, 9)} == {7}
+
+
+def test_large_buckets_are_split_and_still_whole(spark):
+    r = random.Random(21)
+    centre = r.getrandbits(64)
+    values = {centre}
+    while len(values) < 400:
+        values.add(r.choice(sorted(values)[:50]) ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 5))))
+    df = spark.createDataFrame([(v - 2**64 if v >= 2**63 else v,) for v in values], "fp long")
+
+    def classes(pairs):
+        group = {v: {v} for v in values}
+        for a, b in pairs:
+            ga, gb = group[a % 2**64], group[b % 2**64]
+            if ga is not gb:
+                ga |= gb
+                for x in gb:
+                    group[x] = ga
+        return {frozenset(g) for g in group.values()}
+
+    want = classes([(a, b) for a in values for b in values if bin(a ^ b).count("1") <= 3])
+    assert classes(simhash.links(df, 3, split=5).collect()) == want == classes(simhash.links(df, 3).collect())
 
 
 def test_masks_cover_every_set_of_three_bits():
@@ -144,7 +167,7 @@ def test_links_connect_what_is_near():
         return sorted(map(sorted, out.values()))
 
     full = [(int(a), int(b)) for a in own for b in own[np.bitwise_count(own ^ a) <= 3]]
-    assert sets(simhash.linked(own, 3, 2**64 - 1)) == sets(full) == sets(simhash.linked(own, 3, 2**64 - 1, probed=0))
+    assert sets(simhash.linked(own, 3, 2**64 - 1)) == sets(full) == sets(simhash.linked(own, 3, 2**64 - 1, compared=4))
 
 
 def test_components(spark):
@@ -233,8 +256,14 @@ def test_one_row_of_each_group_of_near_copies(spark, docs, rows, none):
                 v[r.randrange(len(v))] = "edited"
             made.append((None if (i + k) % 3 == 0 else 5000 + i if k < 2 else 5000 + (i + 1) % 30, " ".join(v)))
     made += [(None, "same without an id " * 9)] * 2
-    for df, own in ((docs, rows), (spark.createDataFrame(made, "doc_id long, text string").repartition(3), made)):
-        got = jaccard.one_of_each(df)
+    base = text(80)
+    for i in range(120):  # a large group, some only near others of it
+        v = list(base if i % 3 else made[-1][1].split() if i > 3 else base)
+        v[r.randrange(len(v))] = f"new{i}"
+        made.append((9000 + i, " ".join(v)))
+    table = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    for df, own, together in ((docs, rows, 2000), (table, made, 2000), (table, made, 9)):
+        got = jaccard.one_of_each(df, together=together)
         assert got.columns == df.columns
         group = slow_groups(own)
         best = {}
