@@ -43,22 +43,21 @@ def fingerprints(texts: list[str]) -> list[str]:
     """Of each text: ``root/section/section...``, a section being ``hash:leaf,leaf...`` of fixed-width hex numbers.
 
     Leaves are pieces cut by content within paragraphs (lines); a paragraph hashes its leaves, a section hashes its
-    paragraphs and ends by content too, the root hashes the sections. Equal texts give equal strings; a local edit
-    changes the leaves it touches and their ancestors only. The empty text has a root alone.
+    paragraphs and ends by content too, the root hashes the sections, all with BLAKE2b of 128 bits, so that roots test
+    equality. Equal texts give equal strings; a local edit changes the leaves it touches and their ancestors only. The
+    empty text has a root alone. Leaves are written with 32 bits and sections with 64, which only ``likeness`` reads.
     """
     raw = [t.encode() for t in texts]
-    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    whole = b"".join(raw)
+    data = np.frombuffer(whole, dtype=np.uint8)
     ends = np.cumsum([len(r) for r in raw])
     n = len(data)
     if not n:
-        return [_root(b"")] * len(texts)
+        return [_hash(b"")] * len(texts)
     value = _byte_values()[data]
     power, undo = _powers(1 << max(12, (n + 1).bit_length()))
     prefix = np.r_[np.uint64(0), np.cumsum(value * power[:n])]
-
-    def hashed(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return mixed((prefix[stop] - prefix[start]) * undo[start] + (stop - start).astype(np.uint64))
-
+    # a rolling hash says where pieces end, and nothing else
     back = np.maximum(np.arange(1, n + 1) - 8, 0)
     stop = mixed((prefix[1:] - prefix[back]) * undo[back]) & np.uint64((1 << PIECE_BITS) - 1) == 0
     # near a text's start the eight bytes would reach into the text before: no cut there
@@ -69,39 +68,31 @@ def fingerprints(texts: list[str]) -> list[str]:
     stop |= line
     stop[ends[ends > 0] - 1] = True
     leaf_end = np.flatnonzero(stop) + 1
-    leaf_start = np.r_[0, leaf_end[:-1]]
-    leaf = hashed(leaf_start, leaf_end)
-    text_end = np.searchsorted(leaf_end, ends, side="right")  # leaves up to each text's end
+    leaf = [_digest(whole[a:b]) for a, b in zip([0, *leaf_end[:-1].tolist()], leaf_end.tolist(), strict=True)]
     closes = line[leaf_end - 1]
+    text_end = np.searchsorted(leaf_end, ends, side="right")  # leaves up to each text's end
     closes[text_end[text_end > 0] - 1] = True
-    # paragraph and section hashes: sums of leaves times powers by their order, which numpy adds up by group
-    para_last = np.flatnonzero(closes)
-    para_first = np.r_[0, para_last[:-1] + 1]
-    place = np.arange(len(leaf)) - np.repeat(para_first, para_last - para_first + 1)
-    para = mixed(np.add.reduceat(leaf * power[place + 1], para_first))
-    ends_section = para & np.uint64((1 << SECTION_BITS) - 1) == 0
-    ends_section |= np.isin(para_last + 1, text_end)
-    last = np.flatnonzero(ends_section)
-    first = np.r_[0, last[:-1] + 1]
-    place = np.arange(len(para)) - np.repeat(first, last - first + 1)
-    section = mixed(np.add.reduceat(para * power[place + 1], first))
-    section_stop = para_last[last] + 1  # in leaves
-    hexes = leaf.astype(">u8").tobytes().hex()
-    leaves = [hexes[i : i + 8] for i in range(0, len(hexes), 16)]
-    hexes = section.astype(">u8").tobytes().hex()
-    heads = [hexes[i : i + 16] for i in range(0, len(hexes), 16)]
-    out, s, l = [], 0, 0
+    para_stop = (np.flatnonzero(closes) + 1).tolist()  # in leaves
+    para = [_digest(b"P" + b"".join(leaf[a:b])) for a, b in zip([0, *para_stop], para_stop, strict=False)]
+    shown = [x.hex() for x in [d[:4] for d in leaf]]
+    out, p, l = [], 0, 0
     for own, stop_leaf in zip(raw, text_end.tolist(), strict=True):
-        parts = []
-        while s < len(heads) and section_stop[s] <= stop_leaf:
-            e = int(section_stop[s])
-            parts.append(f"{heads[s]}:{','.join(leaves[l:e])}")
-            s, l = s + 1, e
-        out.append("/".join([_root("".join(p[:16] for p in parts).encode() + len(own).to_bytes(8, "big") if parts else b""), *parts]))
+        parts, hashes, first = [], [], p
+        while p < len(para) and para_stop[p] <= stop_leaf:
+            p += 1
+            if para[p - 1][0] < 256 >> SECTION_BITS or para_stop[p - 1] == stop_leaf:
+                hashes.append(_digest(b"S" + b"".join(para[first:p])))
+                parts.append(f"{hashes[-1][:8].hex()}:{','.join(shown[l : para_stop[p - 1]])}")
+                first, l = p, para_stop[p - 1]
+        out.append("/".join([_hash(b"R" + b"".join(hashes)) if hashes else _hash(b""), *parts]))
     return out
 
 
-def _root(of: bytes) -> str:
+def _digest(of: bytes) -> bytes:
+    return hashlib.blake2b(of, digest_size=16).digest()
+
+
+def _hash(of: bytes) -> str:
     return hashlib.blake2b(of, digest_size=16).hexdigest()
 
 
@@ -166,7 +157,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     The edited text has the last third of its code points replaced by as many first ones of the successor. Texts are
     shuffled once, into ranges of doc_id; each range also gets the head of the one that follows, so neighbours meet
     without a second shuffle. Null texts are empty; a null doc_id comes last; rows with one doc_id follow each other
-    by their texts' hash; a lone row is its own successor.
+    by their texts' hash, repeated rows too; a lone row is its own successor; an empty table gives no rows; columns
+    besides doc_id and text, whatever their names, are not looked at.
     """
     spark = docs.sparkSession
     n = 3 * partitions(spark)

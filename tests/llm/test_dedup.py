@@ -201,6 +201,35 @@ def test_fingerprints_tell_edits(texts):
     assert merkle.likeness(empty, empty) == 1.0 and merkle.likeness(empty, a) == 0.0
 
 
+def thue_morse(a, b, n):
+    """Two strings that hashes by powers modulo 2**64 do not tell apart."""
+    x, y = a, b
+    while len(x) < n:
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_roots_test_equality():
+    for a, b in ("ab", "xy", "q7", "AZ", "eo"):
+        x, y = thue_morse(a, b, 2048)
+        one, two = merkle.fingerprints([x, y])
+        assert one.split("/")[0] != two.split("/")[0] and merkle.likeness(one, two) < 1
+    r = random.Random(17)
+    lines = ["".join(r.choice("abcd\n") for _ in range(r.randint(0, 60))) for _ in range(3000)]
+    assert len(set(merkle.fingerprints(lines))) == len(set(lines))
+
+
+def test_long_and_empty_texts(spark):
+    texts = ["ab cd\n" * 300_000, "", None, "x" * 2_000_000, "\n" * 5000, "é" * 100_001]
+    got = {r.doc_id: r for r in merkle.compare_with_next(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        t, u = t or "", texts[i - 1] or ""  # descending ids
+        third = len(t) // 3
+        edited = t[: len(t) - third] + u[:third]
+        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert (got[i].fingerprint == got[i].edited_fingerprint) == (t == edited)
+
+
 def test_compare_with_next(docs, rows, none):
     got = merkle.compare_with_next(docs).collect()
     assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((d, len(t or "")) for d, t in rows)
