@@ -175,21 +175,58 @@ def test_nearest_neighbours(spark):
     good += [(5000 + i, good[3][1]) for i in range(60)]
     odd = [(9000, None), (9001, [0.0] * 16), (9002, [float("nan")] * 16), (9003, [None] * 16), (9004, [1.0] * 4), (None, good[0][1]), (9020, [float("inf")] * 16)]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in good + odd], "vec_id long, embedding array<double>, cell string, part int")
+    check_neighbours(ann.search(df, df.filter("vec_id % 20 = 0"), k=20).collect(), good)
+
+
+def check_neighbours(found, good, least=0.9, each=20):
+    """Ranks, order, exact scores, and how many of the truly nearest are there."""
     got = {}
-    for r in ann.search(df, df.filter("vec_id % 20 = 0"), k=20, share=0.6).collect():
+    for r in found:
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    want = brute(good, [(i, v) for i, v in good if i % 20 == 0], 20)
+    want = brute(good, [(i, v) for i, v in good if i % each == 0], 20)
     assert got.keys() == want.keys()
-    hits = 0
-    scores = {i: dict(brute(good, [(i, dict(good)[i])], len(good))[i]) for i in list(want)[:5]}
+    hits, known = 0, dict(good)
     for i, own in got.items():
         own.sort()
-        assert [r for r, _, _ in own] == list(range(1, 21))
+        assert [r for r, _, _ in own] == list(range(1, len(want[i]) + 1))
         assert [(-s, v) for _, v, s in own] == sorted((-s, v) for _, v, s in own)
-        if i in scores:
-            assert all(s == pytest.approx(scores[i][v], abs=1e-12) for _, v, s in own)
+        assert all(s == pytest.approx(float(np.dot(known[v], known[i])), abs=1e-12) for _, v, s in own)
         hits += len({v for _, v, _ in own} & {v for v, _ in want[i]})
-    assert hits / (20 * len(want)) >= 0.9
+    assert hits / sum(map(len, want.values())) >= least
+    return hits
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.1"])
+def test_recall_of_the_registered_query(spark, folder):
+    rows = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet").collect()
+    good = [(r.vec_id, np.array(r.embedding, dtype=np.float64)) for r in rows if r.embedding is not None]
+    check_neighbours(queries.QUERIES["op8_inverted_multi_index"](spark, f"/root/testdata/{folder}").collect(), good)
+
+
+def test_repeated_rows_count_once(spark):
+    rng = np.random.default_rng(9)
+    good = [(i, rng.normal(size=8).tolist()) for i in range(200)]
+    df = spark.createDataFrame([*good, *good, (3, [9.0] * 8)], "vec_id long, embedding array<double>")  # of id 3 the least vector counts
+    least = {i: min(v, [9.0] * 8) if i == 3 else v for i, v in good}
+    check_neighbours(ann.search(df, df.filter("vec_id % 20 = 0"), k=20).collect(), sorted(least.items()), 0.8)
+
+
+def test_large_cells_lie_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAST_BLOCK", 40)
+    monkeypatch.setattr(ann, "BLOCK", 40)
+    rng = np.random.default_rng(5)
+    good = [(i, (rng.normal(size=8) * 0.1 + (i % 3 > 0)).tolist()) for i in range(900)]
+    df = spark.createDataFrame(good, "vec_id long, embedding array<double>")
+    check_neighbours(ann.search(df, df.filter("vec_id % 20 = 0"), k=20, centroids=2).collect(), good)
+
+
+def test_clustered_vectors_need_a_small_share():
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 16)) * 3
+    rows = np.concatenate([c + rng.normal(size=(50, 16)) * 0.05 for c in centres])
+    rng.shuffle(rows)
+    index = ann.Index(ann.codebook(rows[:, :8], 40), ann.codebook(rows[:, 8:], 40), np.zeros(1600, dtype=np.int64), 100)
+    assert ann.share_for(0.93, rows, index, 20) < 0.1
 
 
 def test_few_vectors(spark):
