@@ -18,10 +18,12 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+from .common import ragged
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
-#: Words that one worker remembers at most.
-REMEMBERED = 1_000_000
+#: Words that one worker remembers at most, and letters of those over 32 that it remembers at most.
+REMEMBERED, LONG_LETTERS = 1_000_000, 2_000_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -68,11 +70,18 @@ def leftmost(at: np.ndarray, nxt: np.ndarray) -> np.ndarray:
 def merge_by_rank_rounds(merges: Merges, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Rank-synchronous merging: every round applies, in all sequences at once, each one's lowest-rank pair.
 
-    Returns the surviving symbols, flat, and how many each word has.
+    Returns the surviving symbols, flat, and how many each word has. Words of over ``LONG`` symbols take many rounds, so
+    these look at changed places only.
     """
     sym, counts = merges.symbols(words)
     seq = np.repeat(np.arange(len(words)), counts)
     done: list[tuple[np.ndarray, np.ndarray]] = []
+    long = np.flatnonzero(counts > LONG)
+    if len(long):
+        own = np.repeat(counts > LONG, counts)
+        left, kept = _long_rounds(merges, sym[own], counts[long])
+        done.append((np.repeat(long, kept), left))
+        sym, seq = sym[~own], seq[~own]
     while len(sym):
         rank = np.full(len(sym), NONE)
         same = seq[1:] == seq[:-1]
@@ -100,6 +109,57 @@ def merge_by_rank_rounds(merges: Merges, words: list[str]) -> tuple[np.ndarray,
     return syms[order], np.bincount(seqs, minlength=len(words))
 
 
+#: Symbols from which a sequence's ranks are kept in blocks, and symbols of a block.
+LONG, RANKS = 64, 32
+
+
+def _long_rounds(merges: Merges, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same rounds, with each block's least rank at hand: a round reads these, the blocks that hold its pairs, and what it changes."""
+    blocks = -(-counts // RANKS)
+    base = (np.cumsum(blocks) - blocks) * RANKS
+    n = int(blocks.sum()) * RANKS
+    place = ragged(base, counts)
+    sym = np.zeros(n, dtype=np.int64)
+    sym[place] = symbols
+    alive = np.zeros(n, dtype=bool)
+    alive[place] = True
+    nxt, prv = np.full(n, -1), np.full(n, -1)
+    inner = np.ones(len(place), dtype=bool)
+    inner[np.cumsum(counts) - 1] = False
+    nxt[place[inner]] = place[inner] + 1
+    prv[place[inner] + 1] = place[inner]
+    rank = np.full(n, NONE)
+
+    def ranked(at: np.ndarray) -> None:
+        on = nxt[at] >= 0
+        rank[at[~on]] = NONE
+        rank[at[on]] = merges.rank(sym[at[on]], sym[nxt[at[on]]])
+
+    ranked(place)
+    table, first = rank.reshape(-1, RANKS), np.cumsum(blocks) - blocks
+    least = table.min(axis=1)
+    while True:
+        want = np.repeat(np.minimum.reduceat(least, first), blocks)
+        where = np.flatnonzero((least == want) & (want != NONE))
+        if not len(where):
+            break
+        row, column = np.nonzero(table[where] == want[where, None])
+        at = leftmost(where[row] * RANKS + column, nxt)
+        gone = nxt[at]
+        sym[at] = merges.made[rank[at]]
+        alive[gone] = False
+        rank[gone] = NONE
+        after = nxt[gone]
+        nxt[at] = after
+        prv[after[after >= 0]] = at[after >= 0]
+        before = prv[at]
+        changed = np.concatenate([at, before[before >= 0]])
+        ranked(changed)
+        touched = np.unique(np.concatenate([changed, gone]) // RANKS)
+        least[touched] = table[touched].min(axis=1)
+    return sym[alive], np.add.reduceat(alive.reshape(-1, RANKS).sum(axis=1), first)
+
+
 def merge_by_pair_index(merges: Merges, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Pair occurrence index: the positions of every mergeable pair, worked off by ascending rank.
 
@@ -209,8 +269,9 @@ def encode_words(path: str, words: list[str], merge) -> list[np.ndarray]:
 class Remembered(dict):
     """word -> place of its value. Looking up a word not seen yet notes it down; ``look`` then makes all their values at once.
 
-    When half of ``limit`` words have come, they become the older half; words not looked up until the next such
-    change are forgotten, which costs time and changes no result.
+    When half of ``limit`` words have come, or long ones of LONG_LETTERS letters, they become the older half; words not
+    looked up until the next such change are forgotten, which costs time and changes no result. So memory has a bound
+    in bytes for texts without spaces too.
     """
 
     def __init__(self, make, limit: int = REMEMBERED):
@@ -218,9 +279,12 @@ class Remembered(dict):
         self.make, self.limit = make, limit
         self.values, self.open, self.places = [], [], []
         self.older, self.older_values = {}, []
+        self.letters = 0
 
     def __missing__(self, word):
         place = self[word] = len(self.values)
+        if len(word) > 32:
+            self.letters += len(word)
         old = self.older.get(word)
         if old is None:
             self.values.append(None)
@@ -232,10 +296,10 @@ class Remembered(dict):
 
     def look(self, lists: list[list[str]]) -> list[list]:
         """The values of each list's words."""
-        if 2 * len(self) > self.limit:
+        if 2 * len(self) > self.limit or self.letters > LONG_LETTERS:
             self.older, self.older_values = dict(self), self.values
             self.clear()
-            self.values = []
+            self.values, self.letters = [], 0
         get = self.__getitem__
         places = [list(map(get, words)) for words in lists]
         if self.open:

@@ -133,9 +133,17 @@ SIGN = re.compile("[0-9@]")
 EDGES = ".,;:!?\"'|*&%#$<>[]{}"
 
 
-@lru_cache(maxsize=1 << 16)
+#: Letters up to which what was found out about a word is remembered, so that the memory has a bound in bytes.
+SHORT = 64
+
+
 def shape(word: str) -> tuple[str, ...]:
     """Features of a word: its shape with runs folded, how many digits it has, and marks that tell kinds apart."""
+    return _shape(word) if len(word) <= SHORT else _shape.__wrapped__(word)
+
+
+@lru_cache(maxsize=1 << 16)
+def _shape(word: str) -> tuple[str, ...]:
     core = word.strip(EDGES)
     if not SIGN.search(core):
         return ("plain",)
@@ -181,7 +189,18 @@ class Model:
                 x -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
         self.weights[-1] = 0
         self.moves = np.where(self.allowed, self.moves, -1e9)
-        self.emissions = lru_cache(maxsize=1 << 16)(self._emission)
+        self.__setstate__(self.__dict__)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "remembered"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.remembered = lru_cache(maxsize=1 << 16)(self._emission)
+        self.sure = self.certain()
+
+    def emissions(self, before: str, word: str, after: str) -> np.ndarray:
+        return self.remembered(before, word, after) if len(word) <= SHORT else self._emission(before, word, after)
 
     @staticmethod
     def features(words: list[str], i: int) -> list[str]:
@@ -263,13 +282,17 @@ class Model:
         return out
 
     def spans(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-        """(kind, start, end) of each text. Plain words more than two words from any other are outside of spans and not decoded."""
+        """(kind, start, end) of each text.
+
+        Plain words more than two words from any other are outside of spans and not decoded, if the model is sure of
+        that (``certain``); or else every word is.
+        """
         lines, where = [], []
         for n, text in enumerate(texts):
-            if not SIGN.search(text):
+            if self.sure and not SIGN.search(text):
                 continue
             words = [(m.start(), m.end()) for m in WORD.finditer(text)]
-            signs = [i for i, (a, b) in enumerate(words) if SIGN.search(text, a, b)]
+            signs = [i for i, (a, b) in enumerate(words) if not self.sure or SIGN.search(text, a, b)]
             i = 0
             while i < len(signs):
                 lo = hi = signs[i]
@@ -312,14 +335,18 @@ def read_labelled(line: str) -> tuple[list[str], list[str]]:
 
 @lru_cache(maxsize=4)
 def model(labelled: tuple[str, ...] = LABELLED) -> Model:
-    """One per process; training is the same everywhere."""
+    """Trained once, by the driver; tasks get its weights."""
     return Model(labelled)
 
 
-def find(texts: list[str], labelled: tuple[str, ...] = LABELLED) -> list[tuple[list, list]]:
+#: Per worker process: by labelled table, the model that a task brought, with what it remembers of words.
+_BROUGHT: dict[tuple[str, ...], Model] = {}
+
+
+def find(texts: list[str], trained: Model | None = None) -> list[tuple[list, list]]:
     """Of each text the patterns' spans, and all spans: theirs and those of the model that touch none of them."""
     out = []
-    for text, more in zip(texts, model(labelled).spans(texts), strict=True):
+    for text, more in zip(texts, (trained or model()).spans(texts), strict=True):
         base = patterns(text)
         added = [s for s in more if not any(s[1] < e and b < s[2] for _, b, e in base)]
         out.append((base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1]))))
@@ -329,14 +356,16 @@ def find(texts: list[str], labelled: tuple[str, ...] = LABELLED) -> list[tuple[l
 def personal_data(docs: DataFrame, labelled: tuple[str, ...] = LABELLED) -> DataFrame:
     """doc_id, base and spans (arrays of kind, start, end in code points) of each document; nothing is shuffled.
 
-    Null texts are empty; repeated rows give repeated results; columns besides doc_id and text are not looked at.
+    Null texts are empty; a null doc_id stays null; repeated rows give repeated results; an empty table gives no rows;
+    columns besides doc_id and text, whatever their names, are not looked at.
     """
+    trained = model(labelled)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     named = lambda spans: [dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans]
 
     def run(batches):
         for ids, run in rows_of(batches):
-            found = find(run, labelled)
+            found = find(run, _BROUGHT.setdefault(labelled, trained))
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "base": pa.array([named(b) for b, _ in found], span), "spans": pa.array([named(s) for _, s in found], span)})
 
     kind = "array<struct<kind:string,start:int,end:int>>"
@@ -359,8 +388,11 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def redact(docs: DataFrame, labelled: tuple[str, ...] = LABELLED) -> DataFrame:
-    """The same rows and columns with personal data in ``text`` replaced by <kind>, and n_chars its code points. Null texts stay null."""
-    names = docs.columns
+    """The same rows and columns with personal data in ``text`` replaced by <kind>, and n_chars its code points.
+
+    Null texts stay null; repeated rows stay; an empty table gives no rows; other columns pass through.
+    """
+    trained, names = model(labelled), docs.columns
     at = names.index("text")
 
     def run(batches):
@@ -369,7 +401,7 @@ def redact(docs: DataFrame, labelled: tuple[str, ...] = LABELLED) -> DataFrame:
             new: list = []
             for i in range(0, len(texts), 512):
                 some = texts[i : i + 512]
-                new += [t and masked(t, spans) for t, (_, spans) in zip(some, find([t or "" for t in some], labelled), strict=True)]
+                new += [t and masked(t, spans) for t, (_, spans) in zip(some, find([t or "" for t in some], _BROUGHT.setdefault(labelled, trained)), strict=True)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
     out = docs.mapInArrow(run, docs.schema)

@@ -44,6 +44,34 @@ def test_encoders_equal_the_library(strange, texts, path, encoder):
         assert [np.frombuffer(x, "<u4").tolist() for x in made(corpus)] == library_ids(path, corpus)
 
 
+def test_long_words_by_changed_places_only():
+    r = random.Random(31)
+    words = ["".join(r.choice("aeinrst") for _ in range(n)) for n in (63, 64, 65, 66, 200, 1000, 30_000)] + ["a" * 500, "ab" * 333, "the" * 100, "x"]
+    merges = bpe.merges(WORD)
+    one, two = bpe.merge_by_rank_rounds(merges, words), bpe.merge_by_pair_index(merges, words)
+    assert one[0].tolist() == two[0].tolist() and one[1].tolist() == two[1].tolist()
+    assert one[1].tolist() == [len(i) for i in library_ids(WORD, words)]
+
+
+def test_texts_without_spaces_take_time_in_proportion_and_bounded_memory(spark):
+    import time
+
+    r = random.Random(32)
+    word = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    start = time.time()
+    counts = bpe.merge_by_rank_rounds(bpe.merges(WORD), [word])[1]
+    assert counts.tolist() == [len(library_ids(WORD, [word])[0])] and time.time() - start < 60
+    memory = bpe.Remembered(lambda words: [len(w) for w in words])
+    for i in range(300):
+        assert memory.look([["日本" * 20_000 + str(i)]]) == [[40_000 + len(str(i))]]
+    assert sum(map(len, memory)) + sum(map(len, memory.older)) < 3 * bpe.LONG_LETTERS
+    texts = [word[i : i + 50_000] for i in range(0, 400_000, 50_000)] + ["日本語のテキスト" * 9000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: len(ids) for i, ids in enumerate(library_ids(WORD, texts))}
+    assert {x.doc_id: x.n_tokens for x in tokens.token_counts(df, WORD).collect()} == want
+    assert {x.doc_id: x.n_tokens for x in tokens.encode_decode(df, WORD).collect()} == want
+
+
 def test_forgetting_changes_nothing(texts):
     corpus = [t or "" for t in texts]
     small = bpe.WordEncoder(WORD)
