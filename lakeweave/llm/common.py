@@ -41,6 +41,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bytes_of(df: DataFrame) -> int:
+    """What Spark's plan estimates as the size of ``df``; 0 where it knows nothing."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 55 else 0
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """The two columns every text operator needs, null texts as empty ones. Other columns are ignored."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, merged, partitions, ragged, rows_of
+from .common import NULL_ID, bytes_of, merged, partitions, ragged, rows_of
 from .merkle import _byte_values, _powers, mixed
 from .suffix import common_prefixes, suffix_array
 
@@ -40,6 +40,8 @@ RUN = 1 << 18
 HELD = 3_000_000
 #: Bytes of blocks that one suffix array covers, unless one n-gram alone has more.
 SHARD = 1 << 20
+#: Bytes of input, as Spark estimates them, that a group of documents has.
+HOME = 32 << 20
 #: Different blocks of one n-gram, in a task or together, from which on its strings are dealt by digest.
 HOT = 2048
 ANCHOR = np.dtype([("gram", "<u8"), ("block", "<u8"), ("doc", "<i8"), ("text", "<u4"), ("at", "<i4")])
@@ -99,8 +101,9 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     text = np.searchsorted(ends, at, side="right")
     lo, hi = np.maximum(at - (width - 1), starts[text]), np.minimum(at + length, ends[text])
     power, undo = _powers(1 << max(12, (n + 1).bit_length()))
-    prefix = np.r_[np.uint64(0), np.cumsum(value * power[:n])]
-    block = mixed((prefix[hi] - prefix[lo]) * undo[lo] + (at - lo).astype(np.uint64) * _A[5] + (hi - lo).astype(np.uint64) * _A[6])
+    # sums of powers over single bytes agree for strings built to that end; over mixed groups of eight they do not
+    prefix = np.r_[np.uint64(0), np.cumsum(mixed(eight) * power[: n - 7])]
+    block = mixed((prefix[hi - 7] - prefix[lo]) * undo[lo] + (at - lo).astype(np.uint64) * _A[5] + (hi - lo).astype(np.uint64) * _A[6])
     return at, mixed(gram[at]), block
 
 
@@ -226,11 +229,13 @@ def digests(data: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarra
     """Two independent 64-bit hashes of the strings of ``length`` bytes at ``start``."""
     out = []
     value = _byte_values()[data]
+    two = value[:-1] * _A[1] + value[1:]
+    four = two[:-2] * _A[2] + two[2:]
+    eight = four[:-4] * _A[4] + four[4:]
     power, undo = _powers(1 << max(12, (len(data) + 1).bit_length()))
-    for salt in (0, 1):
-        own = value if not salt else mixed(value + np.uint64(0x9E3779B97F4A7C15))
-        prefix = np.r_[np.uint64(0), np.cumsum(own * power[: len(data)])]
-        out.append(mixed((prefix[start + length] - prefix[start]) * undo[start]))
+    for salt in (np.uint64(0), np.uint64(0x9E3779B97F4A7C15)):
+        prefix = np.r_[np.uint64(0), np.cumsum(mixed(eight + salt) * power[: len(eight)])]
+        out.append(mixed((prefix[start + length - 7] - prefix[start]) * undo[start]))
     return out[0], out[1]
 
 
@@ -412,7 +417,8 @@ def remove_repeated(docs: DataFrame, length: int = 100, outputs: tuple[str, ...]
     Returns doc_id and, of n_bytes, n_removed, n_spans, spans, kept, kept_sha256, those named. Texts are UTF-8 bytes;
     matches never cross documents. Null texts are empty; a null doc_id comes before every other; rows with one
     doc_id count in the order of their texts' checksums, and of rows equal in both the later ones repeat the first;
-    texts under ``length`` bytes stay; ``hot`` changes the way, not the result; columns besides doc_id and text are not looked at.
+    texts under ``length`` bytes stay; an empty table gives no rows; ``hot`` changes the way, not the result; columns
+    besides doc_id and text, whatever their names, are not looked at.
     """
     kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), OUT["spans"]: pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
     schema = pa.schema([("doc_id", pa.int64()), *((c, kinds[OUT[c]]) for c in outputs)])
@@ -425,7 +431,8 @@ def _with_spans(base: DataFrame, rows: DataFrame, length: int, apply, schema, ho
     if length < GRAM + 8:
         raise ValueError(f"length must be {GRAM + 8} at least")
     n = partitions(base.sparkSession)
-    buckets, homes, shards = n, 2 * n, n
+    # a home's documents are worked on together: so many homes that each has about HOME bytes of them
+    buckets, homes, shards = n, max(2 * n, -(-bytes_of(base) // HOME)), n
     at_home = lambda df: df.groupBy(F.pmod(F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.lit(1000003)), F.lit(homes)).cast("int"))
     found = base.mapInArrow(lambda b: _scan(b, length, buckets, hot), BLOBS).repartitionById(n, "to").mapInArrow(lambda b: _group(b, homes, hot), BLOBS)
     blocks = at_home(base).cogroup(found.groupBy("home")).applyInArrow(lambda d, f: _blocks(d, f, length, shards), BLOBS)
@@ -436,7 +443,8 @@ def _with_spans(base: DataFrame, rows: DataFrame, length: int, apply, schema, ho
 def without_repeated(docs: DataFrame, length: int = 100) -> DataFrame:
     """The same rows and columns; ``text`` is what stays of it (see ``remove_repeated``), n_chars its code points.
 
-    A cut within a character takes the rest of that character too. Null texts stay null.
+    A cut within a character takes the rest of that character too. Null texts stay null, repeated rows stay with what
+    they keep (nothing, from ``length`` bytes on), an empty table gives no rows, and other columns pass through.
     """
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     names = docs.columns

@@ -12,6 +12,14 @@ import xxhash
 from lakeweave.llm import components, dedup, jaccard, merkle, simhash, suffix
 
 
+def thue_morse(a, b, n):
+    """Two strings that hashes by powers modulo 2**64 do not tell apart."""
+    x, y = a, b
+    while len(x) < n:
+        x, y = x + y, y + x
+    return x, y
+
+
 def test_suffix_arrays_and_prefixes():
     r = random.Random(3)
     for _ in range(400):
@@ -64,6 +72,28 @@ def test_hot_passages_are_split_and_still_whole(spark, hot):
     assert Counter(map(tuple, got)) == removed(rows, 100)
 
 
+def test_strings_that_plain_sums_of_powers_confuse(spark):
+    head = "a shared head of some thirty letters"
+    for i, (a, b) in enumerate(("ab", "xy", "eo", "q7")):
+        x, y = thue_morse(a, b, 1024)
+        rows = [(1, head + x), (2, head + y), (3, head + x)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        for length, hot in ((1052, 2048), (1052, 1), (100, 2048), (100, 1)):
+            got = dedup.remove_repeated(df, length, ("n_bytes", "n_removed", "n_spans", "kept_sha256"), hot=hot).collect()
+            assert Counter(map(tuple, got)) == removed(rows, length), (a, b, length)
+        if i:
+            break
+
+
+def test_very_long_texts(spark):
+    r = random.Random(41)
+    word = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    one, passage = word(400_000), word(5000)
+    rows = [(1, one), (2, passage + word(100_000) + passage), (3, one[1000:300_000]), (4, "x" * 300_000), (5, None), (6, "")]
+    got = dedup.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string"), 100, ("n_bytes", "n_removed", "n_spans", "kept_sha256")).collect()
+    assert Counter(map(tuple, got)) == removed(rows, 100)
+
+
 def test_pipeline_form_keeps_columns(docs, rows, none):
     out = dedup.without_repeated(docs, 100)
     assert out.columns == docs.columns
@@ -201,14 +231,6 @@ def test_fingerprints_tell_edits(texts):
     assert merkle.likeness(empty, empty) == 1.0 and merkle.likeness(empty, a) == 0.0
 
 
-def thue_morse(a, b, n):
-    """Two strings that hashes by powers modulo 2**64 do not tell apart."""
-    x, y = a, b
-    while len(x) < n:
-        x, y = x + y, y + x
-    return x, y
-
-
 def test_roots_test_equality():
     for a, b in ("ab", "xy", "q7", "AZ", "eo"):
         x, y = thue_morse(a, b, 2048)
