@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _path(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A folder of its own in the shared one, gone when the driver ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    path, files = _path(spark, folder)
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path, files = _path(spark, folder)
+    files.delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` materialised in the shared folder, without its lineage."""
     shared_dir(df.sparkSession)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import NULL_ID, partitions, rows_of, shared_dir, texts
+from .common import NULL_ID, partitions, rows_of, texts
 
 #: Bits whose ones one directory entry counts.
 BLOCK = 512
@@ -95,7 +94,9 @@ class Codes:
 def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 1) -> None:
     """Writes every document's ids and the end id to ``folder``, in ascending doc_id order (null first, equal ids side by side).
 
-    Parquet holds the segments; ``code`` is the format above. Null and empty texts are the end id alone.
+    Parquet holds the segments; ``code`` is the format above. Null and empty texts are the end id alone; repeated rows
+    are written as often as they stand; an empty table gives no segment; columns besides doc_id and text, whatever their
+    names, are not looked at. A segment holds about SEGMENT ids or one longer document.
     """
     n = partitions(docs.sparkSession)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
@@ -168,8 +169,3 @@ def _read(batches, with_ids):
             ids = [every[a:b].astype(np.int32) for a, b in zip([0, *stops[:-1]], stops, strict=True)] if with_ids else []
             out = {"doc_id": pa.array(row["doc_ids"], pa.int64()), "start": pa.array(row["before"] + np.cumsum(counts) - counts), "n_tokens": pa.array(counts), "ids_crc32": pa.array(crc, pa.int64())}
             yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else {}))
-
-
-def new_folder(spark: SparkSession) -> str:
-    """A folder of its own in the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"

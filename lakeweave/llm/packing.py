@@ -28,8 +28,9 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = 2048, open_w
     for every 64 partitions; their last tokens go to sequences whose lengths are powers of two, so no padding
     arises at all. ``ids``: little-endian unsigned 32-bit integers.
 
-    Null and empty texts are the end id alone; repeated rows and null doc_ids are packed like others; an empty
-    table gives no rows; columns besides doc_id and text are not looked at.
+    Null and empty texts are the end id alone; repeated rows and null doc_ids are packed like others; of windows that a
+    piece fits equally well the oldest takes it; an empty table gives no rows; columns besides doc_id and text, whatever
+    their names, are not looked at.
     """
     schema = SPARK + ", part int, ids binary"
     placed = cut(texts(docs).mapInArrow(lambda batches: _pack(batches, path, end_id, window, open_windows, with_ids), schema))

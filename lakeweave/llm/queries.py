@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import ann, dac, dedup, merkle, packing, pii, quality, simhash, tokens
 from .bpe import vocabulary
+from .common import new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +58,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = dac.new_folder(spark)
+    folder = new_folder(spark, "tokens")
     dac.write_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), folder)
     return dac.read_tokens(spark, folder, with_ids=False)
 

@@ -16,8 +16,8 @@ def encode_decode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("n_tok
     """Each document's ids and their decoding: doc_id, and of n_tokens, ids, decoded, ids_sha256, decoded_sha256 those named.
 
     Pairs are merged by a pair occurrence index over the distinct words of a run of documents. Null and empty
-    texts have no ids and decode to the empty text; repeated rows give repeated results; a null doc_id stays null;
-    columns besides doc_id and text are not looked at.
+    texts have no ids and decode to the empty text; repeated rows give repeated results; a null doc_id stays null; an
+    empty table gives no rows; columns besides doc_id and text, whatever their names, are not looked at.
     """
     kinds = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
     schema = "doc_id long, " + ", ".join(f"{c} {kinds[c]}" for c in outputs)
@@ -71,7 +71,8 @@ def _encode_decode(batches, path, outputs, arrow):
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each document by rank-synchronous merging of its distinct words.
 
-    Null and empty texts count zero; repeated rows give repeated results; a null doc_id stays null.
+    Null and empty texts count zero; repeated rows give repeated results; a null doc_id stays null; an empty table gives
+    no rows; columns besides doc_id and text, whatever their names, are not looked at.
     """
     return texts(docs).mapInArrow(lambda batches: _counts(batches, path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
