@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +61,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Per worker process: what an operator remembers from task to task, by the operator's name, as a function that drops it.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keep_only(name: str = "", drop: Callable[[], None] | None = None) -> None:
+    """Says at a task's start whose memory this worker keeps: that of other operators, which ran in it before, goes."""
+    for other in [n for n in _KEPT if n != name]:
+        _KEPT.pop(other)()
+    if drop:
+        _KEPT[name] = drop
+
+
 def bytes_of(df: DataFrame) -> int:
     """What Spark's plan estimates as the size of ``df``; 0 where it knows nothing."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

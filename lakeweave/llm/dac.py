@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import NULL_ID, partitions, rows_of, texts
+from .common import NULL_ID, keep_only, partitions, rows_of, texts
 
 #: Bits whose ones one directory entry counts.
 BLOCK = 512
@@ -120,6 +120,7 @@ def range_of(bounds: np.ndarray):
 
 
 def _segments(batches, path, end_id):
+    keep_only("token files", bpe.word_encoder.cache_clear)
     tokens = bpe.word_encoder(path)
     end = np.array([end_id], dtype="<u4").tobytes()
     part, serial, before = TaskContext.get().partitionId(), 0, 0

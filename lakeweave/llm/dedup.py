@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, bytes_of, merged, partitions, ragged, rows_of
+from .common import NULL_ID, bytes_of, keep_only, merged, partitions, ragged, rows_of
 from .merkle import _byte_values, _powers, mixed
 from .suffix import common_prefixes, suffix_array
 
@@ -108,6 +108,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
 
 
 def _scan(batches, length: int, buckets: int, most: int):
+    keep_only()
     held: list[np.ndarray] = []
     count = 0
 

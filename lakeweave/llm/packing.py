@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import cut, rows_of, texts
+from .common import cut, keep_only, rows_of, texts
 
 #: Partitions whose leftover windows one task merges.
 MERGED_TOGETHER = 64
@@ -47,6 +47,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _pack(batches, path, end_id, window, open_windows, with_ids):
+    keep_only("packing", bpe.spaced_encoder.cache_clear)
     encode = bpe.spaced_encoder(path)
     part = TaskContext.get().partitionId()
     end = np.array([end_id], dtype="<u4").tobytes()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, texts
+from .common import keep_only, rows_of, texts
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -364,6 +364,7 @@ def personal_data(docs: DataFrame, labelled: tuple[str, ...] = LABELLED) -> Data
     named = lambda spans: [dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans]
 
     def run(batches):
+        keep_only()
         for ids, run in rows_of(batches):
             found = find(run, _BROUGHT.setdefault(labelled, trained))
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "base": pa.array([named(b) for b, _ in found], span), "spans": pa.array([named(s) for _, s in found], span)})
@@ -396,6 +397,7 @@ def redact(docs: DataFrame, labelled: tuple[str, ...] = LABELLED) -> DataFrame:
     at = names.index("text")
 
     def run(batches):
+        keep_only()
         for batch in batches:
             texts = batch.column(at).to_pylist()
             new: list = []

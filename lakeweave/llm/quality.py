@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows_of, slices, texts
+from .common import keep_only, rows_of, slices, texts
 
 #: Bytes a filter spans, filters, numbers learned for a byte, bytes of a half chunk, hidden units.
 WIDTH, FILTERS, CODE, HALF, HIDDEN = 4, 8, 6, 128, 12
@@ -248,6 +248,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: in
     network = train(docs, labels, sample)
 
     def run(batches):
+        keep_only()
         for ids, run in rows_of(batches, 1 << 19):
             z = network.scores(run) if isinstance(network, Network) else np.full(len(run), network)
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "score": pa.array(z)})
@@ -265,6 +266,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample
     at = docs.columns.index("text")
 
     def run(batches):
+        keep_only()
         for batch in batches:
             keep: list[bool] = []
             column = batch.column(at)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bpe
-from .common import rows_of, texts
+from .common import keep_only, rows_of, texts
 
 
 def encode_decode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
@@ -45,6 +45,7 @@ _MEMORIES: dict[str, bpe.Remembered] = {}
 
 
 def _encode_decode(batches, path, outputs, arrow):
+    keep_only("encoding", _MEMORIES.clear)
     memory = _memory(path)
     sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
     for ids, run in rows_of(batches, 4 << 20):
@@ -81,6 +82,7 @@ _COUNTS: dict[str, bpe.Remembered] = {}
 
 
 def _counts(batches, path, limit):
+    keep_only("counts", _COUNTS.clear)
     if path not in _COUNTS:
         _COUNTS[path] = bpe.Remembered(lambda words: _word_counts(path, words))
     memory = _COUNTS[path]
