@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 # Abbreviations whose dot ends no sentence.
 ABBREVIATIONS = ("dr", "mr", "mrs", "ms", "prof", "sr", "jr", "st", "mt", "fig", "eq", "ref", "vol", "no", "pp", "p", "vs", "etc", "cf", "al", "approx", "inc", "ltd", "co", "corp", "e.g", "i.e")
-# Words that no span starts or ends with.
+# Words that no span starts or ends with.
 STOP_WORDS = frozenset("a an the of to in on at by for from with and or but nor so yet as is are was were be been being it its this that these those he she they we you i his her their our your my not no do does did have has had can could will would shall should may might must if then than".split())
 PROTECTED = re.compile(
     r"https?://\S+|www\.\S+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+"  # addresses

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import cells
 
+# How numbers, pairs, ranges and open ranges are written.
 NUMBER = r"-?\d+(?:\.\d+)?"
 PAIR = r"^(\d+(?:\.\d+)?)\s*/\s*(\d+(?:\.\d+)?)$"
 RANGE = rf"^({NUMBER})\s*[-–]\s*({NUMBER})$"
@@ -20,6 +21,7 @@ ABOVE = rf"^[>≥]=?\s*({NUMBER})$"
 def to_date(cell: Column) -> Column:
     """An ISO date at the start is kept as YYYY-MM-DD, M/D/YYYY is turned into it, other text stays trimmed. No calendar check."""
     bare = cells.trim(cell)
+    # fixed values: how dates are written
     iso, us = r"^(\d{4})-(\d{2})-(\d{2})", r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
     part = lambda i: F.regexp_extract(bare, us, i)
     return F.when(bare.rlike(iso), F.substring(bare, 1, 10)).when(bare.rlike(us), F.concat_ws("-", part(3), F.lpad(part(1), 2, "0"), F.lpad(part(2), 2, "0"))).otherwise(bare)

@@ -65,14 +65,18 @@ def cohesion(weights: np.ndarray, members: np.ndarray) -> float:
 
 
 def cliques(weights: np.ndarray, smallest: int = 2, least: float = 0.3, most: int = 10) -> list[tuple[list[int], float]]:
-    """Dominant sets peeled off one by one while they are large and close enough."""
+    """Dominant sets peeled off one by one, of which those that are large and close enough count, ``most`` of them at most.
+
+    A set that is too small or too loose is taken away like others, and what is left is looked at again.
+    """
     left, out = np.flatnonzero(weights.sum(axis=1) > 0), []
     while len(left) >= smallest and len(out) < most:
         own = dominant_set(weights, left)
-        close = cohesion(weights, own)
-        if len(own) < smallest or close < least:
+        if not len(own):
             break
-        out.append((own.tolist(), close))
+        close = cohesion(weights, own)
+        if len(own) >= smallest and close >= least:
+            out.append((own.tolist(), close))
         left = np.setdiff1d(left, own)
         left = left[weights[np.ix_(left, left)].sum(axis=1) > 0]
     return out

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
 def active(status: Column, strict: bool = False) -> Column:
     """Null, 1, or text that holds "active" (by default also within "inactive"; ``strict`` wants the whole word)."""
     said = status.rlike(r"(?i)\bactive\b" if strict else "(?i)active")
@@ -16,17 +15,21 @@ def active(status: Column, strict: bool = False) -> Column:
 def by_longest_prefix(rows: DataFrame, rules: DataFrame, code: str, prefix: str = "prefix", keep: bool = False) -> DataFrame:
     """Each row with the rule whose prefix of its code is the longest; codes are compared in capitals without white space.
 
-    A code is spelled out into the prefixes that rules can have, which meet the rules by equality: no comparison of
-    all rows with all rules. ``keep``: rows without a rule stay.
+    An equality join for each length that a prefix has (a handful), the longest first match counting: no comparison of
+    all rows with all rules, no row ids, and a broadcast only where Spark finds the rules small. Of rules with one
+    prefix the greatest counts. ``keep``: rows without a rule stay.
     """
-    clean = F.upper(F.regexp_replace(F.col(code), r"\s+", ""))
-    sizes = [r.n for r in rules.select(F.length(prefix).alias("n")).distinct().collect()]  # lengths of prefixes: a handful
-    spelled = F.array_distinct(F.array(*(F.substring(clean, 1, n) for n in sorted(sizes)))) if sizes else F.array().cast("array<string>")
-    row = rows.withColumn("_row", F.monotonically_increasing_id())
-    hits = row.select("_row", F.explode(spelled).alias("_p")).join(F.broadcast(rules.withColumn("_p", F.upper(F.regexp_replace(prefix, r"\s+", "")))), "_p")
-    columns = [c for c in rules.columns]
-    best = hits.groupBy("_row").agg(F.max_by(F.struct(*columns), F.length("_p")).alias("_rule"))
-    return row.join(best, "_row", "left" if keep else "inner").select(*rows.columns, *(F.col(f"_rule.{c}").alias(c) for c in columns))
+    clean = lambda c: F.upper(F.regexp_replace(c, r"\s+", ""))
+    columns = rules.columns
+    known = rules.withColumn("_p", clean(F.col(prefix))).filter("_p is not null").groupBy("_p").agg(F.max(F.struct(*columns)).alias("_rule"))
+    sizes = sorted((r.n for r in known.select(F.length("_p").alias("n")).distinct().collect()), reverse=True)
+    out = rows.withColumn("_code", clean(F.col(code)))
+    for n in sizes:
+        own = known.filter(F.length("_p") == n).select(F.col("_p").alias(f"_p{n}"), F.col("_rule").alias(f"_rule{n}"))
+        out = out.join(own, F.substring("_code", 1, n) == F.col(f"_p{n}"), "left")
+    best = F.coalesce(*(F.col(f"_rule{n}") for n in sizes)) if sizes else F.lit(None).cast(known.schema["_rule"].dataType)
+    out = out.withColumn("_rule", best)
+    return (out if keep else out.filter("_rule is not null")).select(*rows.columns, *(F.col(f"_rule.{c}").alias(c) for c in columns))
 
 
 def longest_prefix(code: Column, rules: dict[str, str]) -> Column:
@@ -63,5 +66,3 @@ def stats(wanted: DataFrame, results: DataFrame, orders: DataFrame, patient: str
     sums = found.agg(F.count_if(F.col("gap_type") == "never-ordered").alias("never_ordered"), F.count_if(F.col("gap_type") == "ordered-not-resulted").alias("ordered_not_resulted"))
     total = key.agg(F.countDistinct(patient, condition).alias("conditions_checked"), F.count("*").alias("n"))
     return total.crossJoin(sums).select("conditions_checked", "never_ordered", "ordered_not_resulted", (F.col("n") - F.col("never_ordered") - F.col("ordered_not_resulted")).alias("closed"))  # one row with one row
-
-

@@ -27,6 +27,11 @@ def findings(compared: DataFrame, key: str, severities: dict[str, int] | None =
     return dropped.unionByName(changed)
 
 
+def ordered(found: DataFrame, key: str) -> DataFrame:
+    """Findings by falling severity; within one, by key and field, dropped rows before differing fields."""
+    return found.orderBy(F.desc("severity"), F.col("kind") != "dropped", key, F.asc_nulls_first("field"))
+
+
 def report(compared: DataFrame, n_fields: int) -> DataFrame:
     """One row: source_rows, target_rows, dropped, added, mismatches, repeated_keys, completeness, fidelity (%), passed."""
     n = lambda cond: F.count_if(cond)

@@ -9,17 +9,24 @@ from .reshape import project
 
 # Priorities by severity; others get P3.
 PRIORITY = {"critical": "P1", "moderate": "P2", "mild": "P3", "care-gap": "P3", "med-recon": "P3", "data-quality": "P4"}
+# The payload's keys, each with the columns of which the first that a ticket has gives it.
+COPIED = {"external_id": ("id",), "queue": ("queue",), "patient_ref": ("patient_id",), "source": ("source",)}
+# What a ticket is about, and what is said of it: columns that may hold either, in order, with what stands between.
+SUBJECT = ("component", "expected_test", "expected_code", "medication", "checker")
+SAID = (("value", " = "), ("gap_type", ": "), ("discrepancy", ": "))
 
 
 def default_payload(tickets: DataFrame) -> DataFrame:
     """(external_id, summary, priority, queue, patient_ref, description, source) of each ticket; columns that it lacks count as null."""
-    have = lambda *names: F.coalesce(*(F.col(n).cast("string") for n in names if n in tickets.columns), F.lit(None).cast("string"))
-    subject = F.coalesce(have("component"), have("expected_test", "expected_code"), have("medication"), have("checker"))
-    unit = F.coalesce(F.concat(F.lit(" "), have("unit")), F.lit(""))
-    said = lambda c: F.concat(subject, F.lit(": "), c)
-    description = F.coalesce(F.concat(subject, F.lit(" = "), have("value"), unit), said(have("gap_type")), said(have("discrepancy")), subject)
-    priority = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in PRIORITY.items() for x in kv)), F.coalesce(F.col("severity"), F.lit(""))), F.lit("P3"))
-    return tickets.select(have("id").alias("external_id"), F.concat(subject, F.lit(" — "), F.col("severity")).alias("summary"), priority.alias("priority"), have("queue").alias("queue"), have("patient_id").alias("patient_ref"), description.alias("description"), have("source").alias("source"))
+    row = tickets.select("*", *(F.lit(None).cast("string").alias(c) for c in dict.fromkeys(("severity", "unit", *SUBJECT, *(c for c, _ in SAID), *(c for own in COPIED.values() for c in own))) if c not in tickets.columns))
+    known = lambda columns: F.coalesce(*(F.col(c).cast("string") for c in columns))
+    unit = F.when(F.col("value").isNotNull() & F.col("unit").isNotNull(), F.concat(F.lit(" "), F.col("unit"))).otherwise("")
+    more = F.coalesce(*(F.concat(F.lit(between), F.col(c).cast("string")) for c, between in SAID))
+    made = {key: known(columns) for key, columns in COPIED.items()}
+    made["summary"] = F.concat(known(SUBJECT), F.lit(" — "), F.col("severity"))
+    made["description"] = F.concat(known(SUBJECT), F.coalesce(F.concat(more, unit), F.lit("")))
+    made["priority"] = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in PRIORITY.items() for x in pair)), F.coalesce("severity", F.lit(""))), F.lit("P3"))
+    return row.select(*(made[c].alias(c) for c in ("external_id", "summary", "priority", "queue", "patient_ref", "description", "source")))
 
 
 def publish(tickets: DataFrame, field_map: dict[str, str] | None = None, target: str = "dry-run") -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import medication_aliases
+from ..functions.text import medication_aliases, named_in
+from .gaps import active
 
 
 def one_sided(left: DataFrame, right: DataFrame, group: str, name: str = "name", aliases=None) -> DataFrame:
@@ -39,6 +40,27 @@ def extract_by_lexicon(notes: DataFrame, lexicon: list[str], note: str = "note_i
     return notes.select(note, F.explode(found).alias("name"))
 
 
+def as_written(found: DataFrame, notes: DataFrame, note: str = "note_id", text: str = "text", name: str = "name") -> DataFrame:
+    """Of extracted names those that stand in their note, by its first word: what a model made up falls away."""
+    own = found.join(notes.select(note, F.col(text).alias("_text")), note)
+    return own.filter(named_in(F.col("_text"), F.col(name))).drop("_text")
+
+
+def reconcile_notes(notes: DataFrame, orders: DataFrame, extract, patient: str = "patient_id", note: str = "note_id", text: str = "text", status: str = "status") -> DataFrame:
+    """(patient, kind, name, aliases): what a patient's notes name without an active order (note_only), and active orders that no note names (order_only).
+
+    ``notes``: (note, patient, text). ``orders``: (patient, name, status). ``extract`` makes (note, name) of notes, by a model
+    or a word list; names that do not stand in their note are dropped. Only patients with a note about medication are
+    looked at; one without orders has none, so all that its notes name is note_only.
+    """
+    about = notes_about(notes, patient, text).select(note, patient, text)
+    named = as_written(extract(about), about, note, text).join(about.select(note, patient), note).select(patient, "name")
+    asked = about.select(patient).distinct()
+    active_ones = orders.filter(active(F.col(status), strict=True)).select(patient, "name").join(asked, patient, "left_semi")
+    kind = F.when(F.col("kind") == "left_only", "order_only").otherwise("note_only")
+    return medication_reconciliation(active_ones, named, patient).withColumn("kind", kind)
+
+
 def medication_reconciliation(orders: DataFrame, mentioned: DataFrame, patient: str = "patient_id") -> DataFrame:
     """Active orders against the medications that notes mention, by any alias."""
     return one_sided(orders, mentioned, patient, aliases=medication_aliases)
