@@ -6,6 +6,7 @@ import json
 import re
 import threading
 import time
+from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -166,3 +167,28 @@ class RateLimit:
                 self.sleep(wait)
                 self.at, self.tokens = self.at + wait, 1.0
             self.tokens -= 1
+
+
+class Slots:
+    """At most so many calls at a time; those that wait get their turn in the order in which they came."""
+
+    def __init__(self, most: int):
+        self.free, self.waiting, self.lock = most, deque(), threading.Lock()
+
+    def run(self, call: Callable):
+        turn = threading.Event()
+        with self.lock:
+            if self.free and not self.waiting:
+                self.free -= 1
+                turn.set()
+            else:
+                self.waiting.append(turn)
+        turn.wait()
+        try:
+            return call()
+        finally:
+            with self.lock:
+                if self.waiting:
+                    self.waiting.popleft().set()
+                else:
+                    self.free += 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells
@@ -146,26 +146,41 @@ def type_ok(kind: str, value: Column) -> Column:
     return value.isNull() | F.lit(True)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` names it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def verify(df: DataFrame, manifest: Manifest, key: str, examples: int = 5) -> DataFrame:
-    """A row for each mapped field: field, reversibility, rows, losses, type_violations, examples (keys of losses), all rows checked in one pass."""
-    sums, meta = [], []
-    for i, f in enumerate(manifest.fields):
-        raw = _raw(f, df.columns)
-        if raw is None or not f.targets:
-            continue
-        made = _made(f, raw)
+    """A row for each mapped field: field, reversibility, rows, losses, type_violations, examples (the first keys that lose something).
+
+    Every row is checked: each field's raw cell and results are worked out once, in one pass that sums up by field
+    before the shuffle. ``examples`` (0 for none) take a second pass, in which tasks keep no more than that many.
+    """
+
+    def checked(f: Field, raw: Column) -> Column:
         t = REGISTRY.get(f.transform)
-        kept = t.check(raw, made) if t else cells.trim(raw).eqNullSafe(made[0].cast("string"))
-        typed = F.lit(True)
-        for p, c in zip(f.targets, made, strict=False):
-            typed = typed & type_ok(PATHS[manifest.entity][p], c)
-        bad = ~F.coalesce(kept, F.lit(False))
-        sums += [F.count_if(bad).alias(f"l{i}"), F.count_if(~typed).alias(f"t{i}"), F.min(F.when(bad, F.col(key))).alias(f"e{i}")]
-        meta.append((i, f.source, t.kind if t else "passthrough"))
-    if not meta:
-        return df.sparkSession.createDataFrame([], "field string, reversibility string, rows long, losses long, type_violations long, example string")
-    rows = F.array(*(F.struct(F.lit(n).alias("field"), F.lit(k).alias("reversibility"), F.col("n").alias("rows"), F.col(f"l{i}").alias("losses"), F.col(f"t{i}").alias("type_violations"), F.col(f"e{i}").cast("string").alias("example")) for i, n, k in meta))
-    return df.agg(F.count("*").alias("n"), *sums).select(F.explode(rows).alias("r")).select("r.*")
+
+        def held(r: Column, made: Column) -> Column:
+            out = [made[f"m{i}"] for i in range(max(1, len(f.targets)))]
+            kept = t.check(r, out) if t else cells.trim(r).eqNullSafe(out[0].cast("string"))
+            typed = F.lit(True)
+            for p, c in zip(f.targets, out, strict=False):
+                typed = typed & type_ok(PATHS[manifest.entity][p], c)
+            return F.struct(F.lit(f.source).alias("field"), F.lit(t.kind if t else "passthrough").alias("reversibility"), (~F.coalesce(kept, F.lit(False))).alias("lost"), (~typed).alias("wrong"))
+
+        return _let(raw, lambda r: _let(F.struct(*(c.alias(f"m{i}") for i, c in enumerate(_made(f, r)))), lambda made: held(r, made)))
+
+    fields = [checked(f, raw) for f in manifest.fields if f.targets and (raw := _raw(f, df.columns)) is not None]
+    if not fields:
+        return df.sparkSession.createDataFrame([], "field string, reversibility string, rows long, losses long, type_violations long, examples array<string>")
+    rows = df.select(F.col(key).alias("_key"), F.explode(F.array(*fields)).alias("c")).select("_key", "c.*")
+    sums = rows.groupBy("field", "reversibility").agg(F.count("*").alias("rows"), F.count_if("lost").alias("losses"), F.count_if("wrong").alias("type_violations"))
+    if not examples:
+        return sums.withColumn("examples", F.array().cast("array<string>"))
+    first = rows.filter("lost").withColumn("n", F.row_number().over(Window.partitionBy("field").orderBy("_key"))).filter(F.col("n") <= examples)
+    first = first.groupBy("field").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "_key"))), lambda x: x["_key"].cast("string")).alias("examples"))
+    return sums.join(first, "field", "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
 
 
 def coverage(df_columns: list[str], manifest: Manifest) -> dict:
@@ -177,7 +192,7 @@ def coverage(df_columns: list[str], manifest: Manifest) -> dict:
 
 def report(df: DataFrame, manifest: Manifest, key: str) -> dict:
     """The verification's roll-up; it passes without loss and type violation. Coverage never fails a mapping."""
-    rows = verify(df, manifest, key).collect()  # a row a field
+    rows = verify(df, manifest, key, examples=0).collect()  # a row a field
     classes: dict[str, int] = {}
     for r in rows:
         classes[r.reversibility] = classes.get(r.reversibility, 0) + 1
@@ -240,3 +255,13 @@ def sweep(sources: dict[str, tuple[DataFrame, Manifest, str]]) -> dict[str, dict
     return {name: report(df, m, key) for name, (df, m, key) in sources.items()}
 
 
+def same_rows(first: tuple[DataFrame, Manifest, str], second: tuple[DataFrame, Manifest, str]) -> DataFrame:
+    """Two sources of one entity, each through its own manifest: the canonical rows that only one of them gives, with how often (side, n); none proves them equal.
+
+    Columns' names and order in the sources play no part. Rows are counted as they are: a repeated row must repeat in both.
+    """
+    made = [apply(df, m) for df, m, _ in (first, second)]
+    columns = sorted({c for df in made for c in df.columns})
+    sides = [df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c) for c in columns), F.lit(sign).alias("_n")) for df, sign in zip(made, (1, -1), strict=True)]
+    left = sides[0].unionByName(sides[1]).groupBy(*columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+    return left.select(F.when(F.col("_n") > 0, "first").otherwise("second").alias("side"), F.abs("_n").alias("n"), *columns)

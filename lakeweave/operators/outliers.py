@@ -14,11 +14,12 @@ def long(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return df.select(key, *(F.col(f).cast("double").alias(f) for f in fields)).unpivot(key, fields, "field", "value").filter("value is not null")
 
 
-def outliers(values: DataFrame, group: str = "field", value: str = "value", threshold: float = THRESHOLD, exact: bool = True, least: int = 5) -> DataFrame:
+def outliers(values: DataFrame, group: str = "field", value: str = "value", threshold: float = THRESHOLD, exact: bool = False, least: int = 5) -> DataFrame:
     """Rows whose modified z-score exceeds ``threshold``, with median, mad and z. Groups of equal values or under ``least`` rows have none.
 
     Medians and deviations are two aggregations joined back; groups are fields, so both tables are small.
-    ``exact=False`` uses mergeable quantile sketches, for fields with more distinct values than memory holds.
+    Medians come from mergeable quantile sketches (a rank within a ten-thousandth), whose size does not follow the data;
+    ``exact`` asks for the very median, which holds every distinct value of a field in one task.
     """
     middle = F.median if exact else (lambda c: F.percentile_approx(c, 0.5, 10_000))
     med = values.groupBy(group).agg(middle(value).alias("median"), F.count(value).alias("_n"))

@@ -122,10 +122,11 @@ def _(spark, sf):
     return publish.default_payload(all_tickets(spark, sf)).select("external_id", "summary", "priority", "queue", "patient_ref")
 
 
-@query_named("publish_field_map")
+@query_named("publish_field_map", _TICKETS + "SELECT 'dry-run' AS target, true AS dry_run, id AS key, v AS reading, way, queue AS lane, NULL::VARCHAR AS none FROM d")
 def _(spark, sf):
     nested = all_tickets(spark, sf).select("id", F.struct(F.struct("value", "way").alias("facts")).alias("t"), "queue")
-    return publish.publish(nested, {"key": "id", "reading": "t.facts.value", "lane": "queue", "none": "t.nothing"})
+    sent = publish.publish(nested, {"key": "id", "reading": "t.facts.value", "way": "t.facts.way", "lane": "queue", "none": "t.nothing"})
+    return sent.select("target", "dry_run", F.from_json("payload", "key string, reading double, way string, lane string, none string").alias("p")).select("target", "dry_run", "p.*")
 
 
 @query_named("stable_ids", "SELECT p_partkey, 'MR-' || p_partkey || '-' || substr(regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g'), 1, 24) AS id, regexp_replace(lower('Stock Check'), '[^a-z0-9]+', '', 'g') || '-' || p_partkey || '-' || substr(regexp_replace(lower(p_brand), '[^a-z0-9]+', '', 'g'), 1, 24) AS generic_id FROM part")
@@ -134,13 +135,20 @@ def _(spark, sf):
     return p.select("p_partkey", tickets.ticket_id("MR", F.col("p_partkey"), text.slug(F.col("p_name"))).alias("id"), tickets.finding_id(F.lit("Stock Check"), F.col("p_partkey"), F.col("p_brand")).alias("generic_id"))
 
 
-@query_named("patient_enrich", "SELECT o.o_orderkey, c.patient_name FROM orders o LEFT JOIN (SELECT c_custkey, nullif(concat_ws(' ', nullif(trim(split_part(c_name, '#', 1)), ''), nullif(trim(split_part(c_name, '#', 2)), '')), '') AS patient_name FROM customer WHERE c_custkey % 10 <> 0) c ON c.c_custkey = o.o_custkey")
+@query_named("patient_enrich", "SELECT o.o_orderkey, c.patient_name FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN -o_custkey - 1 ELSE o_custkey END AS patient FROM orders) o LEFT JOIN (SELECT c_custkey, nullif(concat_ws(' ', nullif(trim(split_part(c_name, '#', 1)), ''), nullif(trim(split_part(c_name, '#', 2)), '')), '') AS patient_name FROM customer) c ON c.c_custkey = o.patient")
 def _(spark, sf):
-    c = table(spark, sf, "customer").filter("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("patient"), F.split_part("c_name", F.lit("#"), F.lit(1)).alias("first"), F.split_part("c_name", F.lit("#"), F.lit(2)).alias("last"))
-    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("patient"))
+    """Every order with its customer's name; of each tenth the customer is unknown."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("patient"), F.split_part("c_name", F.lit("#"), F.lit(1)).alias("first"), F.split_part("c_name", F.lit("#"), F.lit(2)).alias("last"))
+    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 10 == 0, -F.col("o_custkey") - 1).otherwise(F.col("o_custkey")).alias("patient"))
     return tickets.with_patient(o, c, "patient").select("o_orderkey", "patient_name")
 
 
+@query_named("finding_union", _TICKETS + "SELECT id, 'abnormal-result-triage' AS checker, severity, NULL::VARCHAR AS gap_type, queue FROM d UNION ALL SELECT 'CG-' || c_custkey || '-' || lower(c_mktsegment), 'care-gap', 'care-gap', 'never-ordered', NULL FROM customer")
+def _(spark, sf):
+    gap = table(spark, sf, "customer").select(tickets.ticket_id("CG", F.col("c_custkey"), text.slug(F.col("c_mktsegment"))).alias("id"), F.lit("care-gap").alias("checker"), F.lit("care-gap").alias("severity"), F.lit("never-ordered").alias("gap_type"))
+    return tickets.union(all_tickets(spark, sf).select("id", "checker", "severity", "queue"), gap).select("id", "checker", "severity", "gap_type", "queue")
+
+
 # --- cells and transforms -----------------------------------------------------------------------------------------
 _MESSY = {
     "cell": "CASE WHEN o_orderkey % 7 = 0 THEN ' N/A ' WHEN o_orderkey % 7 = 1 THEN chr(9) || o_orderpriority || ' ' WHEN o_orderkey % 7 = 2 THEN '--' WHEN o_orderkey % 7 = 3 THEN '   ' WHEN o_orderkey % 7 = 4 THEN NULL ELSE o_orderpriority END",
@@ -222,10 +230,17 @@ def _(spark, sf):
     return json_records.long_paths(table(spark, sf, "events"), ["event_id"], "props").filter("value is not null")
 
 
-@query_named("json_records")
+@query_named("json_records", """WITH c AS (SELECT c_custkey::VARCHAR AS source, * FROM customer) SELECT source, 0::BIGINT AS record_index, p AS path, v AS value FROM (
+SELECT source, 'customer.id' AS p, c_custkey::VARCHAR AS v FROM c UNION ALL SELECT source, 'customer.name.full', c_name FROM c UNION ALL SELECT source, 'customer.name.nick', NULL FROM c UNION ALL SELECT source, 'customer.codes.0', c_mktsegment FROM c UNION ALL SELECT source, 'customer.codes.1.deep.0.0', 'x' FROM c UNION ALL SELECT source, 'customer.none', NULL FROM c)""")
+def _(spark, sf):
+    deep = F.concat(F.lit('{"id": '), F.col("c_custkey"), F.lit(', "name": {"full": "'), F.col("c_name"), F.lit('", "nick": "  "}, "codes": ["'), F.col("c_mktsegment"), F.lit('", {"deep": [["x"]]}], "none": {}}'))
+    return json_records.records(table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("source"), F.concat(F.lit('{"rows": ['), deep, F.lit("]}")).alias("text")), "customer").select("source", "record_index", F.explode("values").alias("path", "value"))
+
+
+@query_named("json_anomalies", "SELECT c_custkey::VARCHAR AS source, 'json_parse_error' AS anomaly FROM customer WHERE c_custkey % 3 = 0")
 def _(spark, sf):
-    nested = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.struct(F.col("c_name").alias("full"), F.lit("  ").alias("nick")).alias("name"), F.array(F.col("c_mktsegment"), F.lit("x")).alias("codes")))
-    return json_records.records(table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("source"), F.concat(F.lit("["), nested, F.lit("]")).alias("text")), "customer").select("source", "record_index", F.explode("values").alias("path", "value"))
+    broken = F.when(F.col("c_custkey") % 3 == 0, F.lit('[{"a": 1')).otherwise('[{"a": 1}]')
+    return json_records.records(table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("source"), broken.alias("text"))).filter("anomaly is not null").select("source", "anomaly")
 
 
 @query_named("spanning_fill", "WITH g AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS p FROM orders) SELECT o_custkey, o_orderkey, last_value(p IGNORE NULLS) OVER w AS p, CASE WHEN p IS NULL AND last_value(p IGNORE NULLS) OVER w IS NOT NULL THEN 'p' ELSE '' END AS filled FROM g WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)")
@@ -275,10 +290,27 @@ def _(spark, sf):
     return manifest.anomalies(messy(spark, sf), manifest.Manifest.read(MANIFEST), "o_orderkey").groupBy("kind", "field").agg(F.count("*").alias("n"))
 
 
-@query_named("verify_report", _M + """SELECT 'number' AS field, count(*) AS rows, count(*) FILTER (number IN ('Infinity', '5d')) AS losses FROM m UNION ALL SELECT 'span', count(*), count(*) FILTER (span = 'negative') FROM m
-UNION ALL SELECT 'o_orderkey', count(*), 0 FROM m UNION ALL SELECT 'o_custkey', count(*), 0 FROM m UNION ALL SELECT 'day', count(*), 0 FROM m UNION ALL SELECT 'cell', count(*), 0 FROM m""")
+@query_named("verify_report", _M + """SELECT 'number' AS field, count(*) AS rows, count(*) FILTER (number IN ('Infinity', '5d')) AS losses, 0 AS type_violations, 'equivalence' AS reversibility FROM m UNION ALL SELECT 'span', count(*), count(*) FILTER (span = 'negative'), 0, 'equivalence' FROM m
+UNION ALL SELECT 'o_orderkey', count(*), 0, 0, 'passthrough' FROM m UNION ALL SELECT 'o_custkey', count(*), 0, 0, 'equivalence' FROM m UNION ALL SELECT 'day', count(*), 0, count(*) FILTER (day = 'soon'), 'equivalence' FROM m UNION ALL SELECT 'cell', count(*), 0, 0, 'one-way' FROM m""")
 def _(spark, sf):
-    return manifest.verify(messy(spark, sf), manifest.Manifest.read(MANIFEST), "o_orderkey").select("field", "rows", "losses")
+    return manifest.verify(messy(spark, sf), manifest.Manifest.read(MANIFEST), "o_orderkey", examples=0).select("field", "rows", "losses", "type_violations", "reversibility")
+
+
+@query_named("verify_examples", _M + "SELECT 'number' AS field, o_orderkey::VARCHAR AS example FROM (SELECT o_orderkey FROM m WHERE number IN ('Infinity', '5d') ORDER BY o_orderkey LIMIT 5) UNION ALL SELECT 'span', o_orderkey::VARCHAR FROM (SELECT o_orderkey FROM m WHERE span = 'negative' ORDER BY o_orderkey LIMIT 5)")
+def _(spark, sf):
+    """Up to five rows of each field that lose something."""
+    return manifest.verify(messy(spark, sf), manifest.Manifest.read(MANIFEST), "o_orderkey").select("field", F.explode("examples").alias("example"))
+
+
+@query_named("renamed_sources", _M + "SELECT 'first' AS side, count(*) AS n FROM m WHERE o_orderkey % 31 = 0 UNION ALL SELECT 'second', count(*) FROM m WHERE o_orderkey % 31 = 0")
+def _(spark, sf):
+    """Orders, and the same under other names in another order with each thirty-first row's id changed: only these differ."""
+    one = messy(spark, sf)
+    names = {c: f"x.{c[::-1]}" for c in one.columns}
+    other = one.withColumn("o_orderkey", F.when(F.col("o_orderkey") % 31 == 0, -F.col("o_orderkey") - 1).otherwise(F.col("o_orderkey"))).select(*(F.col(c).alias(n) for c, n in reversed(names.items())))
+    renamed = MANIFEST | {"fields": [f | {"from": names[f["from"]]} for f in MANIFEST["fields"]]}
+    left = manifest.same_rows((one, manifest.Manifest.read(MANIFEST), "o_orderkey"), (other, manifest.Manifest.read(renamed), "x.yekredro_o"))
+    return left.groupBy("side").agg(F.sum("n").alias("n"))
 
 
 # --- gaps, sets, migration ----------------------------------------------------------------------------------------
@@ -314,10 +346,29 @@ def _(spark, sf):
     return gaps.by_longest_prefix(table(spark, sf, "part").select("p_partkey", "p_type"), r, "p_type").select("p_partkey", "name")
 
 
-@query_named("active_predicate", "SELECT o_orderstatus, o_orderstatus IN ('O', '1') OR o_orderstatus = 'F' AS active, count(*) AS n FROM orders GROUP BY ALL")
+_STATUS = "CASE o_orderkey % 9 WHEN 0 THEN NULL WHEN 1 THEN 'Inactive' WHEN 2 THEN '1' WHEN 3 THEN 'ACTIVE' WHEN 4 THEN 'reactivated ' || o_orderstatus WHEN 5 THEN o_orderpriority WHEN 6 THEN '' WHEN 7 THEN 'not active' ELSE '11' END"
+
+
+@query_named("active_predicate", f"SELECT o_orderkey, s IS NULL OR s = '1' OR contains(lower(s), 'active') AS active, s IS NULL OR s = '1' OR regexp_matches(lower(s), '(^|[^a-z0-9_])active($|[^a-z0-9_])') AS strict FROM (SELECT o_orderkey, {_STATUS} AS s FROM orders)")
 def _(spark, sf):
-    status = F.when(F.col("o_orderstatus") == "O", "Inactive").when(F.col("o_orderstatus") == "F", "1").otherwise("Resolved")
-    return table(spark, sf, "orders").groupBy("o_orderstatus", gaps.active(status).alias("active")).agg(F.count("*").alias("n"))
+    return table(spark, sf, "orders").selectExpr("o_orderkey", f"{_STATUS} AS s").select("o_orderkey", gaps.active(F.col("s")).alias("active"), gaps.active(F.col("s"), strict=True).alias("strict"))
+
+
+_NAME = r"trim(regexp_replace(regexp_replace(lower(p_name), '\b(xl|xr|er|sr|cr|hcl|sodium|mg|mcg|unit|units)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query_named("note_reconciliation", f"""WITH n AS (SELECT p_partkey, p_partkey % 50 AS patient_id, {_NAME} AS name FROM part), said AS (SELECT DISTINCT patient_id, name FROM n WHERE p_partkey % 2 = 0 AND length(split_part(name, ' ', 1)) >= 3), asked AS (SELECT DISTINCT patient_id FROM n WHERE p_partkey % 2 = 0),
+ordered AS (SELECT DISTINCT patient_id, name FROM n JOIN asked USING (patient_id) WHERE p_partkey % 3 = 0 OR p_partkey % 6 = 1)
+SELECT patient_id, 'note_only' AS kind, name FROM said WHERE (patient_id, name) NOT IN (SELECT (patient_id, name) FROM ordered) UNION ALL SELECT patient_id, 'order_only', name FROM ordered WHERE (patient_id, name) NOT IN (SELECT (patient_id, name) FROM said)""")
+def _(spark, sf):
+    """Notes that name every second part among patients' medication, with a name made up in each, against orders of every third, some of them stopped."""
+    p = table(spark, sf, "part").withColumn("patient_id", F.col("p_partkey") % 50)
+    notes = p.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("note_id"), "patient_id", F.concat(F.lit("Current Medication: "), F.col("p_name"), F.lit(" 20 mg HCl; stable")).alias("text"))
+    notes = notes.unionByName(p.filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("note_id"), (F.col("patient_id") + 1000).alias("patient_id"), F.lit("nothing to report").alias("text")))
+    status = F.when(F.col("p_partkey") % 3 == 0, "active").when(F.col("p_partkey") % 6 == 1, "1").otherwise("inactive")
+    orders = p.select("patient_id", F.concat(F.col("p_name"), F.lit(" 10 mg")).alias("name"), status.alias("status"))
+    extract = lambda df: df.select("note_id", F.explode(F.array(F.regexp_extract("text", r": (.*?);", 1), F.lit("invented drug"))).alias("name"))
+    return reconcile.reconcile_notes(notes, orders, extract).select("patient_id", "kind", text.medication(F.col("name")).alias("name"))
 
 
 @query_named("reconcile_sets", """WITH w AS (SELECT DISTINCT conv_id, role, unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]+')) AS name FROM conversations WHERE role IN ('user', 'assistant'))
@@ -352,6 +403,16 @@ def _(spark, sf):
     return migrate.findings(migrated(spark, sf), "o_orderkey")
 
 
+@query_named("migration_ranked", _MIGRATION + ", f AS (SELECT o_orderkey, CASE WHEN dropped THEN 'dropped' ELSE 'mismatch' END AS kind, CASE WHEN dropped THEN 3 ELSE 2 END AS severity FROM j WHERE dropped OR changed) SELECT o_orderkey, kind, severity, (row_number() OVER (ORDER BY severity DESC, o_orderkey))::INTEGER AS place FROM f ORDER BY place LIMIT 200")
+def _(spark, sf):
+    """The first two hundred findings of a migration's report, in order."""
+    from pyspark.sql import Window
+
+    best = migrate.ordered(migrate.findings(migrated(spark, sf), "o_orderkey"), "o_orderkey").limit(200)
+    w = Window.orderBy(F.desc("severity"), "o_orderkey")  # over the rows of a report
+    return best.select("o_orderkey", "kind", "severity", F.row_number().over(w).alias("place"))
+
+
 # --- statistics ---------------------------------------------------------------------------------------------------
 _MEANS = "WITH m AS (SELECT user_id, event_type, avg(value) AS mean FROM events WHERE value IS NOT NULL GROUP BY ALL) "
 
@@ -382,7 +443,7 @@ def _(spark, sf):
 
 @query_named("mad_outliers", "WITH e AS (SELECT event_id, event_type, value FROM events WHERE value IS NOT NULL), m AS (SELECT event_type, median(value) AS median FROM e GROUP BY 1), d AS (SELECT e.*, m.median, abs(e.value - m.median) AS dev FROM e JOIN m USING (event_type)), k AS (SELECT event_type, median(dev) AS mad FROM d GROUP BY 1) SELECT d.event_id, d.event_type, d.median, k.mad FROM d JOIN k USING (event_type) WHERE k.mad > 0 AND abs(0.6745 * (d.value - d.median) / k.mad) > 3.5")
 def _(spark, sf):
-    return outliers.outliers(table(spark, sf, "events").select("event_id", "event_type", "value").filter("value is not null"), "event_type").select("event_id", "event_type", "median", "mad")
+    return outliers.outliers(table(spark, sf, "events").select("event_id", "event_type", "value").filter("value is not null"), "event_type", exact=True).select("event_id", "event_type", "median", "mad")
 
 
 @query_named("anomaly_counts", _M + "SELECT field, count(*) AS n FROM (SELECT 'number' AS field FROM m WHERE number IN ('Infinity', '5d') UNION ALL SELECT 'span' FROM m WHERE span = 'negative') GROUP BY 1")
@@ -390,16 +451,17 @@ def _(spark, sf):
     return manifest.anomalies(messy(spark, sf), manifest.Manifest.read(MANIFEST), "o_orderkey").groupBy("field").agg(F.count("*").alias("n"))
 
 
-@query_named("token_usage", r"WITH c AS (SELECT role, ceil((strlen(text) - len(regexp_extract_all(text, '[^A-Za-z0-9\s]')) - len(regexp_extract_all(text, '\s'))) / 4 + len(regexp_extract_all(text, '\s')) / 2 + len(regexp_extract_all(text, '[^A-Za-z0-9\s]')))::BIGINT AS t FROM conversations) SELECT role, count(*) AS calls, sum(t)::BIGINT AS tokens_in FROM c GROUP BY role")
+@query_named("token_usage", r"WITH c AS (SELECT role, turn % 2 = 0 AS batched, ceil((strlen(text) - len(regexp_extract_all(text, '[^A-Za-z0-9\s]')) - len(regexp_extract_all(text, '\s'))) / 4 + len(regexp_extract_all(text, '\s')) / 2 + len(regexp_extract_all(text, '[^A-Za-z0-9\s]')))::BIGINT AS t FROM conversations), p AS (SELECT *, ((t - t // 4) * 3.0 + (t // 4) * 3.0 * 0.1 + (t // 2) * 15.0) * CASE WHEN batched THEN 0.5 ELSE 1 END / 1e6 AS cost FROM c) SELECT role, count(*) AS calls, sum(t)::BIGINT AS tokens_in, sum(t // 2)::BIGINT AS tokens_out, bool_or(batched) AS any_batched, round(sum(cost), 9) AS cost, round(coalesce(sum(cost) FILTER (batched), 0), 9) AS batch_cost FROM p GROUP BY role")
 def _(spark, sf):
-    t = text.token_estimate(F.col("text"))
-    calls = table(spark, sf, "conversations").select("role", t.alias("tokens_in"), F.lit(0).alias("tokens_out"), (F.col("turn") % 2 == 0).alias("batched"), values.token_cost(F.lit(3.0), F.lit(15.0), t, F.lit(0)).alias("cost"))
-    return advisory.usage(calls, ["role"]).select("role", "calls", "tokens_in")
+    t, batched = text.token_estimate(F.col("text")), F.col("turn") % 2 == 0
+    cost = values.token_cost(F.lit(3.0), F.lit(15.0), t, F.floor(t / 2), cached=F.floor(t / 4), batch=batched)
+    calls = table(spark, sf, "conversations").select("role", t.alias("tokens_in"), F.floor(t / 2).alias("tokens_out"), batched.alias("batched"), cost.alias("cost"))
+    return advisory.usage(calls, ["role"]).withColumns({c: F.round(c, 9) for c in ("cost", "batch_cost")})
 
 
 # --- vectors ------------------------------------------------------------------------------------------------------
-#: The queries of whole searches, and the ten to which the SQL of the older queries is bound.
-ASKED, FIRST_TEN = "vec_id % 100 = 0", "vec_id < 10"
+#: Which rows searches ask.
+ASKED = "vec_id % 100 = 0"
 
 
 def corpus(spark: SparkSession, sf_dir: str, asked: str = ASKED) -> tuple[DataFrame, DataFrame]:
@@ -408,55 +470,56 @@ def corpus(spark: SparkSession, sf_dir: str, asked: str = ASKED) -> tuple[DataFr
 
 
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
-_SCORED = f"""WITH q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id < 10), s AS (SELECT q.query_id, 'doc' || e.label AS document_id, e.vec_id // 5 AS section, e.vec_id % 5 AS vec, {_DOT.format('q.query', 'e.embedding')} AS score FROM embeddings e, q),
+_SCORED = f"""WITH q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.query_id, 'doc' || e.label AS document_id, e.vec_id // 5 AS section, e.vec_id % 5 AS vec, {_DOT.format('q.query', 'e.embedding')} AS score FROM embeddings e, q),
 b AS (SELECT query_id, document_id, section, max(score) AS score FROM s GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, section) AS rank FROM b) """
 
 
 def scored_query(name: str, sql: str):
-    """Registers a query of (spark, folder, which rows ask) twice: as its SQL has it, and with ``_whole`` for all that are asked."""
-
-    def add(f):
-        query_named(name, _SCORED + sql)(lambda spark, sf: f(spark, sf, FIRST_TEN))
-        query_named(f"{name}_whole", _SCORED.replace(FIRST_TEN, ASKED) + sql)(lambda spark, sf: f(spark, sf, ASKED))
-        return f
-
-    return add
+    return query_named(name, _SCORED + sql)
 
 
 @scored_query("section_best", "SELECT query_id, document_id, section, round(score, 9) AS score FROM b WHERE score >= 0.3")
-def _(spark, sf, asked):
-    return retrieval.scores(*corpus(spark, sf, asked)).select("query_id", "document_id", "section", F.round("score", 9).alias("score"))
+def _(spark, sf):
+    return retrieval.scores(*corpus(spark, sf)).select("query_id", "document_id", "section", F.round("score", 9).alias("score"))
 
 
 @scored_query("vector_topk", "SELECT query_id, document_id, section, round(score, 9) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 5")
-def _(spark, sf, asked):
-    return retrieval.top(retrieval.scores(*corpus(spark, sf, asked), floor=None), 5).select("query_id", "document_id", "section", F.round("score", 9).alias("score"), "rank")
+def _(spark, sf):
+    return retrieval.top(retrieval.scores(*corpus(spark, sf), floor=None), 5).select("query_id", "document_id", "section", F.round("score", 9).alias("score"), "rank")
 
 
 @scored_query("union_hits", "SELECT document_id, section, round(max(score), 9) AS score FROM r WHERE rank <= 5 GROUP BY ALL")
-def _(spark, sf, asked):
-    return retrieval.union_hits(retrieval.top(retrieval.scores(*corpus(spark, sf, asked), floor=None), 5)).withColumn("score", F.round("score", 9))
+def _(spark, sf):
+    return retrieval.union_hits(retrieval.top(retrieval.scores(*corpus(spark, sf), floor=None), 5)).withColumn("score", F.round("score", 9))
 
 
 @scored_query("effective_counts", "SELECT query_id, count(*) AS n, greatest(1, least(ceil(exp(ln(sum(score)) - sum(score * ln(score)) / sum(score)) - 1e-9)::BIGINT, count(*))) AS k FROM r WHERE rank <= 30 AND score > 0 GROUP BY query_id")
-def _(spark, sf, asked):
-    return retrieval.entropy_counts(retrieval.top(retrieval.scores(*corpus(spark, sf, asked), floor=None), 30))
+def _(spark, sf):
+    return retrieval.entropy_counts(retrieval.top(retrieval.scores(*corpus(spark, sf), floor=None), 30))
 
 
 @scored_query("cliff_counts", ", l AS (SELECT query_id, rank, lag(score) OVER (PARTITION BY query_id ORDER BY rank) / score AS fall FROM r WHERE rank <= 30 AND score > 0), c AS (SELECT query_id, max(fall) AS fall, arg_max(rank, fall) AS place, max(rank) AS n FROM l GROUP BY 1) SELECT query_id, CASE WHEN fall >= 1.05 THEN place - 1 ELSE n END AS k FROM c")
-def _(spark, sf, asked):
-    return retrieval.cliffs(retrieval.top(retrieval.scores(*corpus(spark, sf, asked), floor=None), 30).filter("score > 0"), 1.05)
+def _(spark, sf):
+    return retrieval.cliffs(retrieval.top(retrieval.scores(*corpus(spark, sf), floor=None), 30).filter("score > 0"), 1.05)
 
 
 @scored_query("score_statistics", ", t AS (SELECT *, score / sum(score) OVER (PARTITION BY query_id) AS p FROM r WHERE rank <= 10), z AS (SELECT query_id, count(*) AS n, min(score) AS least, max(score) AS most, avg(score) AS mean, -sum(CASE WHEN p > 0 THEN p * log2(p) END) AS entropy FROM t GROUP BY 1) SELECT query_id, n, round(least, 9) AS least, round(most, 9) AS most, round(mean, 9) AS mean, round(entropy, 9) AS entropy, CASE WHEN entropy / log2(n) < 0.5 THEN 'peaky' WHEN entropy / log2(n) < 0.85 THEN 'moderate' ELSE 'flat' END AS label FROM z")
-def _(spark, sf, asked):
-    s = retrieval.statistics(retrieval.top(retrieval.scores(*corpus(spark, sf, asked), floor=None), 10))
+def _(spark, sf):
+    s = retrieval.statistics(retrieval.top(retrieval.scores(*corpus(spark, sf), floor=None), 10))
     return s.select("query_id", "n", *(F.round(c, 9).alias(c) for c in ("least", "most", "mean", "entropy")), "label")
 
 
-@query_named("hit_suggestions")
+@scored_query("hit_suggestions", """, t AS (SELECT *, score - lead(score) OVER (PARTITION BY query_id ORDER BY rank) AS fall, avg(score) OVER (PARTITION BY query_id) AS mean, stddev_pop(score) OVER (PARTITION BY query_id) AS sd FROM r WHERE rank <= 30),
+z AS (SELECT query_id, arg_max(rank, fall) AS place, max(fall) AS fall, max(score) AS first, max(score) FILTER (rank = 2) AS second, count(*) FILTER (score >= mean + sd) AS above_sigma, count(*) FILTER (score >= mean) AS above_mean FROM t GROUP BY 1)
+SELECT query_id, (CASE WHEN fall >= 0.1 * first THEN place END)::INTEGER AS knee, round(CASE WHEN second > 0 THEN first / second END, 9) AS first_by_second, CASE WHEN NOT second > 0 OR second IS NULL OR first / second >= 1.5 THEN 'clear winner' WHEN first / second >= 1.2 THEN 'moderate winner' ELSE 'no dominant winner' END AS label, above_sigma, above_mean FROM z""")
+def _(spark, sf):
+    return retrieval.suggestions(retrieval.top(retrieval.scores(*corpus(spark, sf), floor=None), 30)).withColumn("first_by_second", F.round("first_by_second", 9))
+
+
+@query_named("unit_vectors", f"SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)), 6) > 0 AS any, round(1.0, 9) AS length, round({_DOT.format('embedding', 'embedding')} / {_DOT.format('embedding', 'embedding')}, 9) AS own FROM embeddings")
 def _(spark, sf):
-    return retrieval.suggestions(retrieval.top(retrieval.scores(*corpus(spark, sf), floor=None), 30))
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("v")).withColumn("u", vectors.normalize(F.col("v")))
+    return e.select("vec_id", (vectors.norm(F.col("v")) > 0).alias("any"), F.round(vectors.norm(F.col("u")), 9).alias("length"), F.round(vectors.similarity(F.col("u"), F.col("v")), 9).alias("own"))
 
 
 @query_named("vector_math", f"SELECT a.vec_id, round({_DOT.format('a.embedding', 'b.embedding')}, 9) AS dot, round({_DOT.format('a.embedding', 'b.embedding')} / sqrt({_DOT.format('a.embedding', 'a.embedding')} * {_DOT.format('b.embedding', 'b.embedding')}), 9) AS cosine, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]) * (x[1]::DOUBLE - x[2])))), 9) AS l2 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -539,73 +602,115 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(text.numbers_in(F.col("text"))).alias("numbers"), text.has_link(F.col("text")).alias("link"))
 
 
-@query_named("media_types", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'text/html' WHEN page_id % 3 = 1 THEN 'image/png' ELSE 'application/octet-stream' END AS kind FROM pages")
+_FILE = "url || CASE page_id % 12 WHEN 0 THEN '/a.HTML?x=1' WHEN 1 THEN '/b.png' WHEN 2 THEN '/c.unknown' WHEN 3 THEN '/d.csv#top' WHEN 4 THEN '/e.json' WHEN 5 THEN '/f.jpeg' WHEN 6 THEN '/g.SVG' WHEN 7 THEN '/h.md' WHEN 8 THEN '/i.tar.txt' WHEN 9 THEN '/' WHEN 10 THEN '/k.webp' ELSE '' END"
+
+
+@query_named("media_types", rf"SELECT page_id, CASE lower(regexp_extract(regexp_replace({_FILE}, '[?#].*$', ''), '([A-Za-z0-9]+)$', 1)) WHEN 'html' THEN 'text/html' WHEN 'png' THEN 'image/png' WHEN 'csv' THEN 'text/csv' WHEN 'json' THEN 'application/json' WHEN 'jpeg' THEN 'image/jpeg' WHEN 'svg' THEN 'image/svg+xml' WHEN 'md' THEN 'text/markdown' WHEN 'txt' THEN 'text/plain' WHEN 'webp' THEN 'image/webp' ELSE 'application/octet-stream' END AS kind FROM pages")
 def _(spark, sf):
-    name = F.when(F.col("page_id") % 3 == 0, "a/b.HTML?x=1").when(F.col("page_id") % 3 == 1, "c.png").otherwise("d.unknown")
-    return table(spark, sf, "pages").select("page_id", media_type(name).alias("kind"))
+    return table(spark, sf, "pages").selectExpr("page_id", f"{_FILE} AS file").select("page_id", media_type(F.col("file")).alias("kind"))
 
 
-@query_named("document_ids")
+@query_named("document_ids", r"WITH p AS (SELECT page_id, list_filter(string_split_regex(regexp_replace(url, '[?#].*$', ''), '[/\\]+'), lambda x: x <> '') AS parts FROM pages), c AS (SELECT page_id, trim(regexp_replace(lower(strip_accents(CASE WHEN len(parts) > 1 THEN parts[-2] ELSE '' END)), '[^a-z0-9]+', '_', 'g'), '_') AS theme, trim(regexp_replace(lower(strip_accents(regexp_replace(parts[-1], '(?i)\.(md|markdown|bin|txt|html?)$', ''))), '[^a-z0-9]+', '_', 'g'), '_') AS stem FROM p) SELECT page_id, CASE WHEN theme <> '' THEN theme || '|' || stem ELSE stem END AS document_id FROM c")
 def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", document_id(F.col("url")).alias("document_id"))
 
 
+@query_named("word_split", r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}\x27-]+'), lambda w: w <> '')) AS words, NOT regexp_matches(text, '[‘’“”–—…]') AS plain FROM documents WHERE text IS NOT NULL")
+def _(spark, sf):
+    d = table(spark, sf, "documents").filter("text is not null")
+    return d.select("doc_id", F.size(text.words(F.col("text"))).cast("long").alias("words"), (text.normalize_punctuation(F.col("text")) == F.col("text")).alias("plain"))
+
+
+@query_named("model_inputs", r"SELECT conv_id, turn, CASE WHEN starts_with(t, 'query: ') THEN t ELSE 'query: ' || t END AS asked, regexp_matches(t, '(?m)^#[ \t]+\S') AS titled, trim(text) AS inside FROM (SELECT *, CASE turn % 3 WHEN 0 THEN 'query: ' || text WHEN 1 THEN '# ' || text ELSE text END AS t FROM conversations)")
+def _(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("t", F.when(F.col("turn") % 3 == 0, F.concat(F.lit("query: "), "text")).when(F.col("turn") % 3 == 1, F.concat(F.lit("# "), "text")).otherwise(F.col("text")))
+    fenced = F.concat(F.lit(" ```json\n"), F.col("text"), F.lit("\n``` "))
+    return c.select("conv_id", "turn", text.with_instruction(F.col("t")).alias("asked"), text.has_title(F.col("t")).alias("titled"), text.without_fences(fenced).alias("inside"))
+
+
+#: What is said in each turn with greetings, shouts, urgency and second questions added to seven of eight: the same in both dialects.
+_SPOKEN = "CASE (conv_id + turn) % 8 WHEN 0 THEN 'Hello there! ' || text WHEN 1 THEN text || ' Thanks.' WHEN 2 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || '!!!' WHEN 3 THEN text || ' please hurry, right now?!?' WHEN 4 THEN 'damn it,, ' || text WHEN 5 THEN text || ' What is it? Explain why and describe how.' WHEN 6 THEN 'Hi. ' || text || ' This is bullshit, now now!! thank you. As soon as possible' ELSE text END"
+_S = f"WITH s AS (SELECT conv_id * 1000 + turn AS query_id, text AS q FROM conversations UNION ALL SELECT -(conv_id * 1000 + turn) - 1, {_SPOKEN} FROM conversations) "
+
+
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn's whole text as a question."""
     return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
 
 
+def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn's whole text as it is, and under negative ids with signs added."""
+    return _asked(spark, sf_dir).unionByName(table(spark, sf_dir, "conversations").selectExpr("-(conv_id * 1000 + turn) - 1 AS query_id", f"{_SPOKEN} AS query"))
+
+
 @query_named("query_analysis")
 def _(spark, sf):
     return query.analyze(_asked(spark, sf), {"teh": "the"})
 
 
-@query_named("multi_part")
+_GREETS = "regexp_replace(trim(regexp_replace(lower({0}), '[\\s!?.,]+', ' ', 'g')), '\\s+', ' ', 'g') IN ('hi', 'hey', 'hello', 'hi there', 'hey there', 'hello there', 'good morning', 'good afternoon', 'good evening', 'thanks', 'thank you')"
+_PIECES = "string_split(regexp_replace(trim(regexp_replace({0}, '\\s+', ' ', 'g')), '([!?.,]) ', '\\1' || chr(1), 'g'), chr(1))"
+_ONE_MARK = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '([!?])[!?]+', '\1', 'g'), ',+', ',', 'g'), '\.+', '.', 'g'), ';+', ';', 'g'), ':+', ':', 'g')"
+
+
+def _twice(words: tuple[str, ...]) -> str:
+    return f"len(list_filter(string_split_regex(lower(c), '[\\n\\r]+'), lambda l: len(list_filter(regexp_extract_all(l, '[a-z0-9_]+'), lambda w: w IN ({', '.join(map(repr, words))}))) > 1)) > 0"
+
+
+@query_named("multi_part", _S + f", o AS (SELECT query_id, {_ONE_MARK.format('q')} AS c FROM s), p AS (SELECT *, {_PIECES.format('c')} AS pieces FROM o) SELECT query_id, length(c) - length(replace(c, '?', '')) > 1 OR {_twice(query.QUESTION_WORDS)} OR {_twice(query.REQUEST_WORDS)} OR regexp_matches(lower(c), '(^|[^a-z0-9_])(also|additionally|as\\s+well\\s+as|in\\s+addition)($|[^a-z0-9_])') OR regexp_matches(c, '[A-Za-z0-9_]{{4,}}[.!?]\\s+[A-Za-z0-9_]{{4,}}') OR regexp_matches(c, '[A-Za-z0-9_]{{3,}}[.!?]\\s+[A-Z]') OR ({_GREETS.format('pieces[1]')} AND regexp_matches(array_to_string(pieces[2:], ' '), '[A-Za-z0-9]')) AS several FROM p")
 def _(spark, sf):
-    return _asked(spark, sf).select("query_id", query.multi_part(F.col("query")).alias("several"), F.size(query.parts(F.col("query"))).alias("parts"))
+    return spoken(spark, sf).select("query_id", query.multi_part(F.col("query")).alias("several"))
 
 
-@query_named("frustration", r"WITH q AS (SELECT conv_id * 1000 + turn AS query_id, CASE turn % 3 WHEN 0 THEN 'WHY IS THIS' || repeat('!', (turn % 9 + 2)::INTEGER) WHEN 1 THEN 'please hurry, now' ELSE 'what is this??' END AS query FROM conversations), s AS (SELECT query_id, CASE WHEN query LIKE 'WHY%' THEN 1.0 ELSE 0.0 END AS shouting, least(1.0, CASE WHEN query LIKE 'WHY%' THEN len(regexp_extract(query, '!+')) - 1 WHEN query LIKE 'what%' THEN 0.5 ELSE 0 END / 5) AS punctuation, CASE WHEN query LIKE 'please%' THEN 1.0 ELSE 0.0 END AS urgency FROM q) SELECT query_id, round(0.25 * shouting + 0.2 * punctuation + 0.25 * urgency, 9) AS score FROM s")
+@query_named("question_parts")
 def _(spark, sf):
-    c = table(spark, sf, "conversations")
-    asked = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("WHY IS THIS"), F.repeat(F.lit("!"), (F.col("turn") % 9 + 2).cast("int")))).when(F.col("turn") % 3 == 1, "please hurry, now").otherwise("what is this??")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.round(query.frustration(asked)["score"], 9).alias("score"))
+    return spoken(spark, sf).select("query_id", F.posexplode(query.parts(F.col("query"))).alias("part", "said"))
 
 
-@query_named("frustration_whole")
+_WORDS = "regexp_extract_all(lower(q), '[\\p{L}\\p{N}_]+')"
+
+
+@query_named("frustration", _S + f""", w AS (SELECT query_id, q, {_WORDS} AS w, len(regexp_extract_all(q, '[A-Z]')) AS u, len(regexp_extract_all(q, '[A-Za-z]')) AS n FROM s),
+f AS (SELECT query_id, CASE WHEN n < 4 THEN 0 ELSE greatest(0, least(1, (u / n - 0.4) / (0.7 - 0.4))) END AS shouting,
+ least(1, coalesce(list_sum(list_transform(regexp_extract_all(q, '[!?]{{2,}}'), lambda r: (length(r) - 1) * CASE WHEN contains(r, '!') THEN 1.0 ELSE 0.5 END)), 0) / 5) AS punctuation,
+ least(1, (len(list_filter(w, lambda x: x IN ('now', 'asap', 'urgent', 'urgently', 'immediately', 'emergency', 'hurry'))) + len(regexp_extract_all(lower(q), 'as soon as possible'))) / 2) AS urgency,
+ len(list_filter(w, lambda x: x IN ('shit', 'fuck', 'fucking', 'bullshit', 'asshole'))) > 0 AS heavy, len(list_filter(w, lambda x: x IN ('damn', 'hell', 'crap', 'sucks', 'stupid'))) > 0 AS rude FROM w),
+t AS (SELECT *, 0.25 * shouting + 0.2 * punctuation + 0.25 * urgency + 0.4 * CASE WHEN heavy THEN 1.0 WHEN rude THEN 0.6 ELSE 0 END AS total FROM f), z AS (SELECT query_id, round(least(1.0, CASE WHEN heavy THEN greatest(total, 0.5) ELSE total END)::DOUBLE, 9) AS score FROM t)
+SELECT query_id, score, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.5 THEN 'moderate' WHEN score >= 0.2 THEN 'mild' ELSE 'none' END AS level FROM z""")
 def _(spark, sf):
-    return _asked(spark, sf).select("query_id", F.round(query.frustration(F.col("query"))["score"], 9).alias("score"))
+    scored = spoken(spark, sf).select("query_id", F.round(query.frustration(F.col("query"))["score"], 9).alias("score"))
+    return scored.withColumn("level", query.frustration_level(F.col("score")))
 
 
-@query_named("greeting_peel", "SELECT conv_id * 1000 + turn AS query_id, CASE turn % 4 WHEN 0 THEN 'where is it?' WHEN 1 THEN 'thanks for it' WHEN 2 THEN '' ELSE 'all done.' END AS bare FROM conversations")
+@query_named("greeting_peel", _S + f", p AS (SELECT query_id, {_PIECES.format("coalesce(q, '')")} AS pieces FROM s) SELECT query_id, array_to_string(list_filter(pieces, lambda x, i: NOT (({_GREETS.format('x')}) AND (i = 1 OR i = len(pieces) OR right(pieces[i - 1], 1) <> ','))), ' ') AS bare FROM p")
 def _(spark, sf):
-    c = table(spark, sf, "conversations")
-    asked = F.when(F.col("turn") % 4 == 0, "Hello! where is it?").when(F.col("turn") % 4 == 1, "thanks for it").when(F.col("turn") % 4 == 2, "good morning!!").otherwise("all done. Thank you.")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), query.without_greeting(asked).alias("bare"))
+    return spoken(spark, sf).select("query_id", query.without_greeting(F.col("query")).alias("bare"))
 
 
-@query_named("greeting_peel_whole")
+@query_named("greeting_reply", _S + "SELECT query_id, CASE WHEN regexp_matches(lower(q), '(^|[^\\p{L}\\p{N}_])thank') THEN 'welcome' WHEN regexp_matches(lower(q), 'good\\s+morning') THEN 'morning' WHEN regexp_matches(lower(q), 'good\\s+(afternoon|evening)') THEN 'evening' ELSE 'hello' END AS reply FROM s")
 def _(spark, sf):
-    return _asked(spark, sf).select("query_id", query.without_greeting(F.col("query")).alias("bare"))
+    return spoken(spark, sf).select("query_id", query.greeting_reply(F.col("query")).alias("reply"))
 
 
-@query_named("collapse_punctuation", "SELECT conv_id * 1000 + turn AS query_id, 'so! yes, well; no. end?' AS said FROM conversations")
+@query_named("intents", "WITH l AS (SELECT DISTINCT conv_id AS query_id, CASE WHEN turn = 0 THEN 'GREETING' WHEN length(text) % 3 = 0 THEN 'TECHNICAL' WHEN length(text) % 3 = 1 THEN 'CONVERSATIONAL' ELSE 'ACTION' END AS label FROM conversations) SELECT query_id, string_agg(label, ',' ORDER BY label <> 'GREETING', label) AS intents FROM l GROUP BY query_id")
 def _(spark, sf):
-    return table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), text.collapse_punctuation(F.lit("so!!! yes,, well;; no... end??!")).alias("said"))
+    n = F.length("text") % 3
+    label = F.when(F.col("turn") == 0, "GREETING").when(n == 0, "TECHNICAL").when(n == 1, "CONVERSATIONAL").otherwise("ACTION")
+    return query.intents(table(spark, sf, "conversations").select(F.col("conv_id").alias("query_id"), label.alias("label"))).withColumn("intents", F.array_join("intents", ","))
 
 
-@query_named("collapse_punctuation_whole", r"SELECT conv_id * 1000 + turn AS query_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([!?])[!?]+', '\1', 'g'), ',+', ',', 'g'), '\.+', '.', 'g'), ';+', ';', 'g'), ':+', ':', 'g') AS said FROM conversations")
+@query_named("searchable_segments", "SELECT conv_id, turn FROM conversations WHERE NOT (role = 'user' AND (turn % 10) / 10 >= 0.7)")
 def _(spark, sf):
-    return _asked(spark, sf).select("query_id", text.collapse_punctuation(F.col("query")).alias("said"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", "CONVERSATIONAL").otherwise("TECHNICAL").alias("label"), ((F.col("turn") % 10) / 10).alias("score"))
+    return retrieval.searchable(c).select("conv_id", "turn")
 
 
-@query_named("spelling", "WITH w AS (SELECT DISTINCT p_name AS word FROM part) SELECT word, word AS suggestion FROM w")
+@query_named("collapse_punctuation", _S + f"SELECT query_id, {_ONE_MARK.format('q')} AS said FROM s")
 def _(spark, sf):
-    p = table(spark, sf, "part").select("p_name").distinct()
-    return query.suggest(p.select(F.col("p_name").alias("word")), p.select(F.col("p_name").alias("entry")), within=1)
+    return spoken(spark, sf).select("query_id", text.collapse_punctuation(F.col("query")).alias("said"))
 
 
-@query_named("spelling_errors")
+@query_named("spelling", "WITH p AS (SELECT DISTINCT p_name FROM part), w AS (SELECT DISTINCT unnest([p_name[1] || p_name[3:], p_name[:-3] || p_name[-1] || p_name[-2]]) AS word FROM p), d AS (SELECT word, p_name AS entry, levenshtein(lower(word), lower(p_name)) AS d FROM w, p), b AS (SELECT word, arg_min(entry, (d, entry)) AS s FROM d WHERE d <= 2 GROUP BY word) SELECT word, coalesce(s, word) AS suggestion FROM w LEFT JOIN b USING (word)")
 def _(spark, sf):
     """Every part's name with its second letter left out, and with its last two changed round, looked up among the names at up to two edits."""
     p = table(spark, sf, "part").select("p_name").distinct()

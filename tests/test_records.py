@@ -224,6 +224,67 @@ def test_cliques():
     assert correlate.cliques(np.zeros((3, 3))) == []
 
 
+def test_cliques_go_on_past_a_loose_set():
+    w = np.zeros((5, 5))
+    for a, b, v in ((0, 1, 0.29), (0, 2, 0.29), (1, 2, 0.29), (3, 4, 0.4)):
+        w[a, b] = w[b, a] = v
+    assert [sorted(c) for c, _ in correlate.cliques(w)] == [[3, 4]]
+
+
+def test_cliques_against_all_subsets():
+    """The first set peeled off is at least as close by its own weights as any set of which none of its members is part."""
+    from itertools import combinations
+
+    r = np.random.default_rng(3)
+    for _ in range(30):
+        w = np.triu(r.uniform(0, 1, (7, 7)), 1)
+        w = w + w.T
+        found = correlate.cliques(w, least=0.0)
+        members = [set(c) for c, _ in found]
+        assert all(not a & b for a, b in combinations(members, 2))
+        for own, close in found:
+            assert close == pytest.approx(np.mean([w[a, b] for a, b in combinations(own, 2)]))
+        # by Motzkin and Straus a dominant set's weighted cohesion is a local maximum: no single key outside supports it more than its members do
+        first = correlate.dominant_set(w)
+        x = np.full(7, 1 / 7)
+        for _ in range(2000):
+            x = x * (w @ x) / (x @ w @ x)
+        assert all((w @ x)[k] <= x @ w @ x + 1e-6 for k in range(7)) and set(first.tolist()) == set(np.flatnonzero(x > 1 / 21).tolist()) == members[0]
+
+
+def test_notes_against_orders(spark):
+    notes = spark.createDataFrame([(1, 7, "Medication: Lipitor (atorvastatin) daily, aspirin"), (2, 8, "medication: none known but zocor"), (3, 9, "nothing"), (4, None, "medication: aspirin")], "note_id int, patient_id int, text string")
+    orders = spark.createDataFrame([(7, "Atorvastatin 20 mg", "active"), (7, "metformin", "1"), (7, "aspirin", "inactive"), (9, "aspirin", "active")], "patient_id int, name string, status string")
+    made = spark.createDataFrame([(1, "Lipitor (atorvastatin)"), (1, "aspirin"), (1, "made up"), (2, "zocor"), (4, "aspirin")], "note_id int, name string")
+    got = reconcile.reconcile_notes(notes, orders, lambda df: made.join(df.select("note_id"), "note_id")).collect()
+    assert {(r.patient_id, r.kind, r.name) for r in got} == {(7, "note_only", "aspirin"), (7, "order_only", "metformin"), (8, "note_only", "zocor")}
+
+
+def test_calls_run_in_turn_and_few_at_a_time():
+    import threading
+    import time as clock
+
+    slots, order, now, most = records.Slots(2), [], [0], [0]
+
+    def call(i):
+        now[0] += 1
+        most[0] = max(most[0], now[0])
+        order.append(i)
+        clock.sleep(0.02)
+        now[0] -= 1
+
+    threads = [threading.Thread(target=slots.run, args=(lambda i=i: call(i),)) for i in range(8)]
+    for t in threads:
+        t.start()
+        clock.sleep(0.004)
+    for t in threads:
+        t.join()
+    assert order == list(range(8)) and most[0] == 2
+    with pytest.raises(ZeroDivisionError):
+        slots.run(lambda: 1 / 0)
+    assert slots.run(lambda: 5) == 5
+
+
 def test_outliers(spark):
     df = spark.createDataFrame([("f", float(100 + i % 3)) for i in range(12)] + [("f", 900.0), ("flat", 1.0)], "field string, value double")
     assert [r.value for r in outliers.outliers(df).collect()] == [900.0]

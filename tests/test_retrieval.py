@@ -1,6 +1,7 @@
 """Retrieval, segmentation and query analysis."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -138,7 +139,7 @@ def test_analysis(spark):
 
 def test_searches_ask_every_hundredth_vector(spark, sf):
     asked = {0, 100, 200, 300, 400}
-    for name in ("vector_search", "vector_search_pivot", "hit_suggestions", "position_changes", "vector_topk_whole"):
+    for name in ("vector_search", "vector_search_pivot", "hit_suggestions", "position_changes", "vector_topk"):
         assert {r.query_id for r in registry.QUERIES[name](spark, sf).select("query_id").collect()} == asked, name
 
 
@@ -169,8 +170,9 @@ def test_questions_are_read_to_their_end_in_every_turn(spark, spoken):
     assert {k: r.query for k, r in got.items()} == said
     assert [got[k].greeting for k in (0, 1, 1002, 1003, 100000, 100002)] == [False, True, True, True, False, False]
     assert got[0].segments[-2:] == [said[0][:-17].strip(), "And why so late?"] and got[1].frustration > 0.2 and got[1002].bare == "where is it"
-    parts = {r.query_id: (r.several, r.parts) for r in registry.QUERIES["multi_part"](spark, folder).collect()}
-    assert parts[0] == (True, 2) and parts[1002] == (True, 2) and parts[100002] == (False, 0)
+    several = {r.query_id: r.several for r in registry.QUERIES["multi_part"](spark, folder).collect()}
+    parts = Counter(r.query_id for r in registry.QUERIES["question_parts"](spark, folder).collect())
+    assert (several[0], parts[0]) == (True, 2) and (several[1002], parts[1002]) == (True, 2) and (several[100002], parts[100002]) == (False, 0)
 
 
 def test_question_hits_asks_whole_hundredth_conversations(spark, spoken):
@@ -184,16 +186,16 @@ def test_question_hits_asks_whole_hundredth_conversations(spark, spoken):
 def test_whole_texts_are_scored(spark, spoken):
     folder, said = spoken
     rows = lambda name, c: {r.query_id: r[c] for r in registry.QUERIES[name](spark, folder).collect()}
-    bare = rows("greeting_peel_whole", "bare")
+    bare = rows("greeting_peel", "bare")
     assert bare[1] == said[1][: -len(" Thank you!")] and bare[1002] == "where is it" and bare[1003] == said[1003][: -len(" Thanks.")] and bare[100002] == ""
-    score = rows("frustration_whole", "score")  # 0.2 for marks in excess by five, 0.25 for two urgent words, 0.4 for a heavy word
+    score = rows("frustration", "score")  # 0.2 for marks in excess by five, 0.25 for two urgent words, 0.4 for a heavy word
     assert score[0] == 0 and score[1] == round(0.2 * 2 / 5 + 0.25 / 2 + 0.4 * 0.6, 9) and score[100002] == 0
-    assert rows("collapse_punctuation_whole", "said")[100000] == said[100000].replace(",,", ",").replace("?!", "?")
+    assert rows("collapse_punctuation", "said")[100000] == said[100000].replace(",,", ",").replace("?!", "?")
 
 
 def test_spelling_errors_are_put_right(spark, sf):
     names = {r.p_name for r in spark.read.parquet(f"{sf}/part.parquet").select("p_name").distinct().collect()}
-    got = {r.word: r.suggestion for r in registry.QUERIES["spelling_errors"](spark, sf).collect()}
+    got = {r.word: r.suggestion for r in registry.QUERIES["spelling"](spark, sf).collect()}
     assert got.keys() == {w for n in names for w in (n[:1] + n[2:], n[:-2] + n[-2:][::-1])}
 
     def edits(a, b):
