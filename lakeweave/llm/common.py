@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Stands for a null doc_id where a key must be a number; ordered before every real id.
 NULL_ID = -(2**63)
+#: Bytes of rows that one batch holds on its way to Python, unless a single row has more.
+BATCH = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,8 +81,16 @@ def bytes_of(df: DataFrame) -> int:
     return size if size < 1 << 55 else 0
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets batches that go to Python hold BATCH bytes, unless the session has a setting of its own: both sides hold a whole batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "67108864b", "64m", "64MB"):
+        spark.conf.set(key, str(BATCH))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """The two columns every text operator needs, null texts as empty ones. Other columns are ignored."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

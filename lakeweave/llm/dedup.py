@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, bytes_of, keep_only, merged, partitions, ragged, rows_of
+from .common import NULL_ID, bytes_of, keep_only, merged, partitions, ragged, rows_of, small_batches
 from .merkle import _byte_values, _powers, mixed
 from .suffix import common_prefixes, suffix_array
 
@@ -431,6 +431,7 @@ def _with_spans(base: DataFrame, rows: DataFrame, length: int, apply, schema, ho
     """``apply`` on the rows and the packed spans to remove of each home; ``base``: doc_id and text without nulls."""
     if length < GRAM + 8:
         raise ValueError(f"length must be {GRAM + 8} at least")
+    small_batches(base.sparkSession)
     n = partitions(base.sparkSession)
     # a home's documents are worked on together: so many homes that each has about HOME bytes of them
     buckets, homes, shards = n, max(2 * n, -(-bytes_of(base) // HOME)), n

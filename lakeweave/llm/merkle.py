@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, partitions, rows_of
+from .common import NULL_ID, partitions, rows_of, small_batches
 
 #: A piece ends where the hash of its last eight bytes has as many low zero bits: 32 bytes on average.
 PIECE_BITS = 5
@@ -161,6 +161,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     besides doc_id and text, whatever their names, are not looked at.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = 3 * partitions(spark)
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_only, rows_of, texts
+from .common import keep_only, rows_of, small_batches, texts
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -393,6 +393,7 @@ def redact(docs: DataFrame, labelled: tuple[str, ...] = LABELLED) -> DataFrame:
 
     Null texts stay null; repeated rows stay; an empty table gives no rows; other columns pass through.
     """
+    small_batches(docs.sparkSession)
     trained, names = model(labelled), docs.columns
     at = names.index("text")
 

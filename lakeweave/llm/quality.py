@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_only, rows_of, slices, texts
+from .common import keep_only, rows_of, slices, small_batches, texts
 
 #: Bytes a filter spans, filters, numbers learned for a byte, bytes of a half chunk, hidden units.
 WIDTH, FILTERS, CODE, HALF, HIDDEN = 4, 8, 6, 128, 12
@@ -262,6 +262,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample
 
     Null and empty texts are scored like any other; repeated rows are kept or go together; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     network = train(docs, labels, sample)
     at = docs.columns.index("text")
 
