@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import tiktoken
-from tokenizers import Tokenizer, normalizers, pre_tokenizers
+from tokenizers import Tokenizer
 
 from .common import ragged
 
@@ -266,8 +266,8 @@ def encode_words(path: str, words: list[str], merge) -> list[np.ndarray]:
     return [np.concatenate([np.array([p[1]]) if isinstance(p, tuple) else ids[p] for p in own]) if own else np.zeros(0, dtype=np.int64) for own in parts]
 
 
-class Remembered(dict):
-    """word -> place of its value. Looking up a word not seen yet notes it down; ``look`` then makes all their values at once.
+class Remembered:
+    """word -> value for each list's words; the values of words not seen yet are made all at once.
 
     When half of ``limit`` words have come, or long ones of LONG_LETTERS letters, they become the older half; words not
     looked up until the next such change are forgotten, which costs time and changes no result. So memory has a bound
@@ -275,40 +275,35 @@ class Remembered(dict):
     """
 
     def __init__(self, make, limit: int = REMEMBERED):
-        super().__init__()
         self.make, self.limit = make, limit
-        self.values, self.open, self.places = [], [], []
-        self.older, self.older_values = {}, []
+        self.known: dict = {}
+        self.older: dict = {}
         self.letters = 0
 
-    def __missing__(self, word):
-        place = self[word] = len(self.values)
-        if len(word) > 32:
-            self.letters += len(word)
-        old = self.older.get(word)
-        if old is None:
-            self.values.append(None)
-            self.open.append(word)
-            self.places.append(place)
-        else:
-            self.values.append(self.older_values[old])
-        return place
+    def __iter__(self):
+        return iter(self.known)
+
+    def learn(self, lists: list[list[str]]) -> dict:
+        """What all words of these lists become, among others."""
+        if 2 * len(self.known) > self.limit or self.letters > LONG_LETTERS:
+            self.older, self.known, self.letters = self.known, {}, 0
+        known, older = self.known, self.older
+        fresh = set().union(*lists).difference(known)
+        if fresh:
+            self.letters += sum([n for n in map(len, fresh) if n > 32])
+            if older:
+                again = [w for w in fresh if w in older]
+                known.update(zip(again, map(older.__getitem__, again), strict=True))
+                fresh.difference_update(again)
+            made = list(fresh)
+            if made:
+                known.update(zip(made, self.make(made), strict=True))
+        return known
 
     def look(self, lists: list[list[str]]) -> list[list]:
         """The values of each list's words."""
-        if 2 * len(self) > self.limit or self.letters > LONG_LETTERS:
-            self.older, self.older_values = dict(self), self.values
-            self.clear()
-            self.values, self.letters = [], 0
-        get = self.__getitem__
-        places = [list(map(get, words)) for words in lists]
-        if self.open:
-            fresh, at = self.open, self.places
-            self.open, self.places = [], []
-            for place, value in zip(at, self.make(fresh), strict=True):
-                self.values[place] = value
-        value = self.values.__getitem__
-        return [list(map(value, own)) for own in places]
+        get = self.learn(lists).__getitem__
+        return [list(map(get, words)) for words in lists]
 
 
 def packed(encoding) -> bytes:
@@ -361,13 +356,28 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+#: Stands for the end of a word in the faster library's pieces; words that hold it themselves do not go there.
+END = "\0"
+
+
 @lru_cache(maxsize=4)
 def same_by_ranks(path: str) -> tiktoken.Encoding:
-    """The vocabulary of a byte-level file whose ids are its merges' ranks, for the faster library; texts without special strings get the same ids."""
-    with open(path, encoding="utf-8") as file:
-        vocab = json.load(file)["model"]["vocab"]
-    back = {c: b for b, c in byte_letters().items()}
-    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks={bytes(back[c] for c in t): i for t, i in vocab.items()}, special_tokens={})
+    """The vocabulary of a byte-level file whose ids follow its merges' ranks, for the faster library.
+
+    Texts without special strings get the same ids, if each symbol's own letters merge to it (the tests look at all). A
+    file with an end-of-word mark takes words that are ready, each with END behind it.
+    """
+    own = merges(path)
+    if (np.diff(own.made) <= 0).any():
+        raise ValueError(f"ids do not follow ranks in {path}")
+    back = {c: bytes([b]) for b, c in byte_letters().items()}
+    special = {t.content for t in library(path).get_added_tokens_decoder().values()}
+    ranks = {}
+    for token, i in own.vocab.items():
+        if token not in special:
+            ends = bool(own.suffix) and token.endswith(own.suffix)
+            ranks[b"".join(map(back.__getitem__, token[: len(token) - len(own.suffix)] if ends else token)) + (END.encode() if ends else b"")] = i
+    return tiktoken.Encoding(path, pat_str=f"[^{END}]+{END}" if own.suffix else public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 #: Words whose parts are known without the library's pattern: letters that normalisation only lowers, then marks (no apostrophe, which can begin a part).
@@ -389,38 +399,44 @@ def simple_parts(word: str) -> list[str] | None:
     return [low, marks] if marks else [low]
 
 
-def _spaced(parts: list[str] | None) -> str | None:
-    return None if parts is None else " ".join(parts)
+def ready(word: str) -> str | None:
+    """A simple word's pre-tokens as text with END between them; None for other words."""
+    if word.isascii() and word.isalpha():
+        return word.lower()
+    m = SIMPLE.fullmatch(word)
+    return None if m is None else END.join([x for x in (m[1].lower(), m[2]) if x])
 
 
 class WordEncoder:
-    """ids of whole texts, as little-endian 32-bit integers, for a file that drops white space, by the library on each distinct word.
+    """ids of whole texts, as little-endian 32-bit integers, for a file that drops white space, from each distinct word.
 
-    Simple words are encoded many at a time, joined by spaces: the end-of-word mark tells where each one's ids stop.
+    Simple words are encoded many at a time by the faster library: the end-of-word mark tells where each one's ids
+    stop. Others go to the tokenizers library.
     """
 
     def __init__(self, path: str):
         self.tokenizer = library(path)
-        self.bare = Tokenizer.from_file(path)  # the same merges on pre-tokens that are ready
-        self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.ready = same_by_ranks(path)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.memory = Remembered(self._encode, 1_400_000)
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        parts = [w.lower() if w.isascii() and w.isalpha() else _spaced(simple_parts(w)) for w in words]
+        parts = [ready(w) for w in words]
         simple = [p for p in parts if p]
-        ids = np.array(self.bare.encode_batch_fast([" ".join(simple)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = np.array(self.ready.encode_ordinary(END.join(simple) + END if simple else ""), dtype="<u4")
         last = np.flatnonzero(self.ends[ids])  # where pre-tokens stop
-        stops = (4 * (last[np.cumsum([p.count(" ") + 1 for p in simple]) - 1] + 1)).tolist() if simple else []
+        stops = (4 * (last[np.cumsum([p.count(END) + 1 for p in simple]) - 1] + 1)).tolist() if simple else []
         raw = ids.tobytes()
         own = iter([raw[a:b] for a, b in zip([0, *stops], stops, strict=False)])
         rest = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(words, parts, strict=True) if p is None], add_special_tokens=False))
         return [next(own) if p else b"" if p == "" else packed(next(rest)) for p in parts]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        return list(map(b"".join, self.memory.look([words_of(t) for t in texts])))
+        split = [words_of(t) for t in texts]
+        get = self.memory.learn(split).__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
 @lru_cache(maxsize=4)

@@ -1,5 +1,6 @@
 """BPE, counts, packing and token files against the library itself."""
 
+import copy
 import hashlib
 import random
 import zlib
@@ -44,6 +45,27 @@ def test_encoders_equal_the_library(strange, texts, path, encoder):
         assert [np.frombuffer(x, "<u4").tolist() for x in made(corpus)] == library_ids(path, corpus)
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_letters_of_every_symbol_merge_to_it(path):
+    """So words may be merged by the ranks of symbols instead of those of pairs."""
+    own = copy.copy(bpe.merges(path))
+    special = {t.content for t in bpe.library(path).get_added_tokens_decoder().values()}
+    for suffix in {own.suffix, ""}:
+        named = {t: i for t, i in own.vocab.items() if t not in special and (own.suffix != "" and t.endswith(own.suffix)) == (suffix != "")}
+        own.suffix = suffix
+        ids, counts = bpe.merge_by_rank_rounds(own, [t.removesuffix(suffix) for t in named])
+        assert set(counts.tolist()) == {1} and ids.tolist() == list(named.values())
+        own.suffix = bpe.merges(path).suffix
+
+
+def test_ready_words_by_ranks_equal_the_library():
+    r = random.Random(33)
+    letters = "abcdeghinorstuyßéüñÄÖZQ"
+    words = ["".join(r.choice(letters) for _ in range(r.randint(1, 30))) + r.choice(["", "", ".", ",!!", "%%%", "\0", "1"]) for _ in range(3000)] + ["\0", "a\0b", "'s", "it's", "A" * 300]
+    got = bpe.WordEncoder(WORD)(words)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == library_ids(WORD, words)
+
+
 def test_long_words_by_changed_places_only():
     r = random.Random(31)
     words = ["".join(r.choice("aeinrst") for _ in range(n)) for n in (63, 64, 65, 66, 200, 1000, 30_000)] + ["a" * 500, "ab" * 333, "the" * 100, "x"]
