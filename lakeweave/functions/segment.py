@@ -13,11 +13,11 @@ ABBREVIATIONS = ("dr", "mr", "mrs", "ms", "prof", "sr", "jr", "st", "mt", "fig",
 # Words that no span starts or ends with.
 STOP_WORDS = frozenset("a an the of to in on at by for from with and or but nor so yet as is are was were be been being it its this that these those he she they we you i his her their our your my not no do does did have has had can could will would shall should may might must if then than".split())
 PROTECTED = re.compile(
-    r"https?://\S+|www\.\S+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+"  # addresses
+    r"https?://\S+|www\.\S+|(?<![\w.+-])[\w.+-]++@[\w-]+(?:\.[\w-]+)+"  # addresses
     r"|\b(?:[A-Z]\.){1,4}(?=\s|$)"  # initials
     r"|\bv?\d+(?:\.\d+)+"  # versions and decimals
-    r"|\b[\w-]+\.(?:md|txt|csv|json|js|py|html?|pdf|xml|bin)\b"  # file names
-    r"|(?m:^\s*\d+\.(?=\s))"  # list ordinals
+    r"|(?<![\w-])[\w-]++\.(?:md|txt|csv|json|js|py|html?|pdf|xml|bin)\b"  # file names
+    r"|(?m:^[ \t]*+\d+\.(?=\s))"  # list ordinals
     rf"|\b(?:{'|'.join(map(re.escape, sorted(ABBREVIATIONS, key=len, reverse=True)))})\.",
     re.IGNORECASE,
 )
@@ -63,7 +63,7 @@ def _sentence_ends(line: str) -> list[int]:
     for m in PROTECTED.finditer(line):
         inner = m.end() - (m.group().endswith(".") and m.end() == len(line.rstrip()))
         free[m.start() : inner] = [False] * (inner - m.start())
-    return [m.end() for m in re.finditer(r"[.!?]+[\"'”’)\]]*(?=\s)", line) if free[m.start()]]
+    return [m.end() for m in re.finditer(r"(?<![.!?])[.!?]++[\"'”’)\]]*+(?=\s)", line) if free[m.start()]]
 
 
 def segments(text: str) -> list[Segment]:
@@ -112,9 +112,14 @@ class Section:
     children: list = field(default_factory=list)
 
     def flatten(self) -> list[Segment]:
-        out = [self.header] if self.header else []
-        for c in self.children:
-            out += c.flatten() if isinstance(c, Section) else [c]
+        out, todo = [], [self]
+        while todo:
+            c = todo.pop()
+            if isinstance(c, Segment):
+                out.append(c)
+            else:
+                out += [c.header] if c.header else []
+                todo += reversed(c.children)
         return out
 
     def direct(self) -> list[Segment]:
@@ -145,20 +150,20 @@ def sections(text: str) -> Section:
     return root
 
 
-def content(root: Section, above: tuple = ()) -> list[dict]:
+def content(root: Section) -> list[dict]:
     """Sections that hold sentences: {start, end, header, ancestors, paragraph}; paragraph counts siblings where there are several."""
     out = []
-    own = root.direct()
-    trail = (*above, root.header) if root.header else above
-    if own:
-        out.append({"start": own[0].start, "end": own[-1].end, "header": trail[-1] if trail else None, "ancestors": trail, "paragraph": None})
-    paragraphs = [c for c in root.children if isinstance(c, Section) and not c.header]
-    for c in root.children:
-        if isinstance(c, Section):
-            for found in content(c, trail):
-                if c in paragraphs and len(paragraphs) > 1 and found["paragraph"] is None:
-                    found["paragraph"] = paragraphs.index(c)
-                out.append(found)
+    todo: list[tuple[Section, tuple, int | None]] = [(root, (), None)]
+    while todo:
+        section, above, place = todo.pop()
+        own = section.direct()
+        trail = (*above, section.header) if section.header else above
+        if own:
+            out.append({"start": own[0].start, "end": own[-1].end, "header": trail[-1] if trail else None, "ancestors": trail, "paragraph": place})
+        below = [c for c in section.children if isinstance(c, Section)]
+        bare = [c for c in below if not c.header]
+        places = {id(c): i for i, c in enumerate(bare)} if len(bare) > 1 else {}
+        todo += [(c, trail, places.get(id(c))) for c in reversed(below)]
     return out
 
 

@@ -1,6 +1,7 @@
 """Retrieval, segmentation and query analysis."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -108,6 +109,21 @@ def test_spelling(spark):
 TEXT = "# Title\n\nFirst one. See v1.2 of e.g. x.md here. Done!\n\nSecond par.\n\n## Sub\n\nInner text.\n\n# Next\nLast"
 
 
+@pytest.mark.parametrize("text", ["a" * 200_000, "a-" * 100_000, "." * 200_000, "a@" * 100_000, "1." * 100_000, "\n" * 200_000, "One two.\n\n" * 20_000])
+def test_segmentation_of_very_long_words_and_texts_is_linear(text):
+    start = time.time()
+    found = segment.content(segment.sections(text))
+    masked, kept = segment.protect_dots(text)
+    assert segment.restore(masked, kept) == text and time.time() - start < 20
+    assert [c["paragraph"] for c in found] == (list(range(20_000)) if text.startswith("One") else [None] * len(found))
+
+
+def test_deep_sections():
+    deep = "".join("1." * n + "1 Abc\n\nText here.\n\n" for n in range(1500))
+    found = segment.content(segment.sections(deep))
+    assert [len(c["ancestors"]) for c in found] == list(range(1, 1501)) and len(segment.sections(deep).flatten()) == 3000
+
+
 def test_segments_and_sections():
     got = [(s.text(TEXT), s.level) for s in segment.segments(TEXT)]
     assert got == [("# Title", 1), ("First one.", 0), ("See v1.2 of e.g. x.md here.", 0), ("Done!", 0), ("Second par.", 0), ("## Sub", 2), ("Inner text.", 0), ("# Next", 1), ("Last", 0)]
