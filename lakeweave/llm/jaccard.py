@@ -1,8 +1,9 @@
-"""Near copies by the exact Jaccard similarity of word shingles, among what SimHash fingerprints or bands of minima bring together.
+"""Near copies by the exact Jaccard similarity of word shingles, among what SimHash fingerprints, bands of minima or windows bring together.
 
 A SimHash of 64 bits differs in about ten bits at a similarity of 0.8, which no covering tables of a bearable number
-reach (2**(radius + 1) - 1 masks). So the covering tables of ``simhash`` give the close candidates, bands of minima
-give the others, and for all of them the shingles themselves decide.
+reach (2**(radius + 1) - 1 masks). So the covering tables of ``simhash`` give the close candidates, and bands of minima
+most of the others. What both miss is found by windows, of which any two similar sets share one for certain. For all
+candidates the shingles themselves decide.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, keep_only, partitions, ragged, rows_of, texts
+from .common import cut, keep_only, partitions, ragged, rows_of, slices, texts
 from .components import components
 from .simhash import _hashes, _majority, links
 
-#: Independent fingerprints of a text, each of so many minima. At a similarity of 0.8, 0.9996 of the pairs share one.
+#: Independent fingerprints of a text, each of so many minima. At a similarity of 0.8, 0.9996 of the pairs share one; windows find the rest.
 BANDS, MINIMA = 20, 5
 _RNG = np.random.default_rng(11)
 _A = (_RNG.integers(0, 1 << 31, BANDS * MINIMA, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -42,8 +43,58 @@ def bands(own: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(x.tobytes()) - 2**63 for x in least.reshape(BANDS, MINIMA)]
 
 
+def parity(own: np.ndarray) -> bytes:
+    """One bit for each remainder of the hashes, set where their number is odd: as many bits as hashes, up to a power of two.
+
+    Each hash that only one of two sets has changes one bit, so the sets differ in no fewer hashes than in bits.
+    """
+    bits = max(64, 1 << max(0, len(own) - 1).bit_length())
+    return np.packbits((np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: bytes, words: int) -> np.ndarray:
+    """The parity of fewer remainders: ``words`` times 64."""
+    out = np.frombuffer(bits, dtype="<u8")
+    while len(out) > words:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def width(least: float) -> int:
+    """Hashes in a window: two, or one where a similarity of ``least`` does not warrant a shared pair."""
+    return 2 if least > 0.5 else 1
+
+
+def windows(own: np.ndarray, least: float = 0.8) -> np.ndarray:
+    """Keys of which any two different sets share one if their similarity is ``least`` or more.
+
+    Let the hashes lie on a circle in ascending order, and a window be w that follow each other. Where two sets of a
+    and b hashes share I and differ in D = a + b - 2 I, each of the D spoils w - 1 windows at most, so I - (w - 1) D
+    are shared. I >= least (a + b) / (1 + least) and b >= least a make that (w least - w + 1) a or more. Of the a
+    windows in the order of their keys, so many can then be left out but one, and the rests still share a key.
+    """
+    w = width(least)
+    keys = own
+    for k in range(1, w):
+        keys = _mixed(keys) + np.roll(own, -k)
+    keys = np.sort(_mixed(keys))
+    return keys[: len(own) - int(np.ceil((w * least - w + 1) * len(own) - 1e-6)) + 1]
+
+
+def handle(own: np.ndarray) -> int:
+    """A signed long for a set; sets that share one are told apart later."""
+    return xxhash.xxh64_intdigest(own.tobytes()) - 2**63
+
+
 def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, digest (of the text), set (of its shingles), fp (their SimHash, repeats included) and bands of each row."""
+    """Of each row doc_id, digest (of the text), content (a digest of its shingles' set), handle, size and parity of that
+    set, fp (the shingles' SimHash, repeats included) and bands."""
 
     def run(batches):
         keep_only()
@@ -51,17 +102,130 @@ def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
             digests = batch.column("digest").to_pylist()
             at = 0
             for ids, run in rows_of(iter([batch]), 2 << 20):
-                sets, prints, found = [], [], []
+                sets, handles, sizes, odd, prints, found = [], [], [], [], [], []
                 for text in run:
                     every = np.array(_hashes(text, shingle), dtype=np.uint64)
                     own = np.unique(every)
-                    sets.append(xxhash.xxh3_128_hexdigest(own.tobytes()))
+                    sets.append(xxhash.xxh3_128_digest(own.tobytes()))
+                    handles.append(handle(own))
+                    sizes.append(len(own))
+                    odd.append(parity(own))
                     prints.append(_majority(every, np.array([len(every)]))[0])
                     found.append(bands(own))
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "digest": pa.array(digests[at : at + len(run)], pa.string()), "set": pa.array(sets), "fp": pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), "bands": pa.array(found, pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "digest": pa.array(digests[at : at + len(run)], pa.string()), "content": pa.array(sets, pa.binary()), "handle": pa.array(handles, pa.int64()), "size": pa.array(sizes, pa.int64()), "parity": pa.array(odd, pa.binary()), "fp": pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), "bands": pa.array(found, pa.list_(pa.int64()))})
                 at += len(run)
 
-    return texts(docs).withColumn("digest", F.md5("text")).mapInArrow(run, "doc_id long, digest string, set string, fp long, bands array<long>")
+    return texts(docs).withColumn("digest", F.md5("text")).mapInArrow(run, "doc_id long, digest string, content binary, handle long, size long, parity binary, fp long, bands array<long>")
+
+
+#: Windows that one task sorts at a time, about; sets of a window that are compared in one task, larger ones are dealt in blocks.
+SORTED, MET = 1 << 20, 4096
+
+
+def sharing(docs: DataFrame, shingle: int, least: float, buckets: int) -> DataFrame:
+    """(key, handle): windows that several sets have, a row for each of these.
+
+    Windows go to ``buckets`` by their keys, packed: six bytes of the key and two that name one of the run's sets.
+    """
+    n = partitions(docs.sparkSession)
+
+    def deal(batches):
+        keep_only()
+        for batch in batches:
+            column = batch.column("text")
+            for start, stop in slices(column, 8 << 20):
+                sets: dict[int, np.ndarray] = {}
+                for text in column.slice(start, stop - start).to_pylist():
+                    own = shingles(text, shingle)
+                    if len(own):
+                        sets.setdefault(handle(own), own)
+                names = list(sets)
+                for i in range(0, len(names), 1 << 16):
+                    own = np.array(names[i : i + (1 << 16)], dtype=np.int64)
+                    keys = [windows(sets[x], least) for x in own.tolist()]
+                    at = np.repeat(np.arange(len(own), dtype=np.uint16), [len(k) for k in keys])
+                    keys = np.concatenate(keys)
+                    bucket = ((keys & np.uint64(0xFFFF)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int32)
+                    order = np.argsort(bucket, kind="stable")
+                    keys, at, bucket = keys[order] >> np.uint64(16), at[order], bucket[order]
+                    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                    packed = keys.view(np.uint8).reshape(-1, 8)[:, :6]
+                    out = {"bucket": bucket[first].tolist(), "keys": [], "at": [], "sets": []}
+                    for j, k in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
+                        used, local = np.unique(at[j:k], return_inverse=True)
+                        out["keys"].append(packed[j:k].tobytes())
+                        out["at"].append(local.astype(np.uint16).tobytes())
+                        out["sets"].append(own[used].tobytes())
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array(out["bucket"], pa.int32()), **{c: pa.array(out[c], pa.binary()) for c in ("keys", "at", "sets")}})
+
+    def meet(batches):
+        for (bucket,), rows in grouped(batches, ["bucket"]):
+            keys = np.zeros((sum(len(r[1]) for r in rows) // 2, 8), dtype=np.uint8)
+            keys[:, :6] = np.frombuffer(b"".join(r[0] for r in rows), dtype=np.uint8).reshape(-1, 6)
+            keys = keys.view("<u8").ravel()
+            own = np.concatenate([np.frombuffer(r[2], dtype=np.int64)[np.frombuffer(r[1], dtype=np.uint16)] for r in rows])
+            order = np.lexsort((own, keys))
+            keys, own = keys[order], own[order]
+            new = np.r_[True, (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])]
+            keys, own = keys[new], own[new]
+            same = keys[1:] == keys[:-1]
+            several = np.r_[same, False] | np.r_[False, same]
+            named = (keys[several] << np.uint64(16)) | np.uint64(bucket)
+            for i in range(0, len(named), 1 << 16):
+                yield pa.RecordBatch.from_pydict({"key": pa.array(named[i : i + (1 << 16)].view(np.int64)), "handle": pa.array(own[several][i : i + (1 << 16)])})
+
+    dealt = texts(docs).select("text").mapInArrow(deal, "bucket int, keys binary, at binary, sets binary")
+    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key long, handle long")
+
+
+def missed(docs: DataFrame, classes: DataFrame, met: DataFrame, shingle: int, least: float, most: int = MET) -> DataFrame:
+    """(a, b): sets of different candidates (``met``: set, candidate; a set alone is one) that can be ``least`` similar.
+
+    Similar sets share a window; by size and parity nearly all others that share one go. A window of more than ``most``
+    sets is dealt in blocks, each of which meets each other.
+    """
+    n = partitions(docs.sparkSession)
+    total = classes.agg(F.sum("size")).first()[0] or 0
+    share = 1 - (width(least) * least - width(least) + 1)
+    buckets = min(1 << 16, max(n, int(total * share) // SORTED + 1))
+    known = classes.select("handle", "set").join(met, "set", "left").select("handle", "set", F.coalesce("candidate", "set").alias("candidate"))
+    rows = cut(sharing(docs, shingle, least, buckets).join(known, "handle").select("key", "set", "candidate"))
+    mixed = rows.groupBy("key").agg(F.min("candidate").alias("one"), F.max("candidate").alias("other"), F.ceil(F.count("*") / most).cast("int").alias("parts")).filter("one <> other").select("key", "parts")
+    own = F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")
+    dealt = rows.join(mixed, "key").withColumn("own", own).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.join(classes.select("set", "size", "parity"), "set").select("key", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "own", "set", "candidate", "size", "parity")
+
+    def within(batches):
+        for (_, i, j), rows in grouped(batches, ["key", "i", "j"]):
+            yield _pairs(*bounded(rows, least, across=i != j), names="ab")
+
+    return dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(within, "a long, b long").distinct()
+
+
+def bounded(rows: list[tuple], least: float, across: bool = False) -> tuple[list, list]:
+    """Sets of different candidates whose sizes and parities allow a similarity of ``least``; ``across``: of different blocks.
+
+    A row: (block, set, candidate, size, parity).
+    """
+    rows = sorted(rows, key=lambda r: r[3])
+    block, names, candidates, sizes = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
+    words = np.array([len(r[4]) // 8 for r in rows])
+    left, right = [], []
+    for m in np.unique(words).tolist():
+        at = np.flatnonzero((words >= m) & (sizes * least <= sizes[words == m].max() + 1e-9))
+        table = np.stack([folded(rows[x][4], m) for x in at.tolist()])
+        for k in range(int((words == m).sum())):
+            x, rest = at[k], at[k + 1 :]
+            fit = (sizes[x] >= least * sizes[rest] - 1e-9) & (candidates[rest] != candidates[x])
+            if across:
+                fit &= block[rest] != block[x]
+            hit = np.flatnonzero(fit)
+            if len(hit):
+                differ = np.bitwise_count(table[k + 1 + hit] ^ table[k]).sum(axis=1, dtype=np.int64)
+                near = names[rest[hit[differ <= (sizes[x] + sizes[rest[hit]]) * (1 - least) / (1 + least) + 1e-6]]].tolist()
+                left += [int(names[x])] * len(near)
+                right += near
+    return left, right
 
 
 class Sets:
@@ -121,8 +285,8 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield now, rows
 
 
-def _pairs(left: list, right: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"set": pa.array(left, pa.string()), "label": pa.array(right, pa.string())})
+def _pairs(left: list, right: list, names: tuple | str = ("set", "label")) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(dict(zip(names, (pa.array(left, pa.int64()), pa.array(right, pa.int64())), strict=True)))
 
 
 #: Sets of a candidate group that one task compares; larger groups are dealt to several.
@@ -136,8 +300,9 @@ def verified(asked: DataFrame, shingle: int, least: float, together: int = TOGET
 
     ``asked``: (candidate, set, score, text), a row a set. A group of up to ``together`` sets is compared in one task. A
     larger one is dealt to parts, in each of which its LEADERS of the highest score stand too, so that what is like a
-    leader is linked across the parts. What is like none meets every other part's sets in blocks of its own: no pair is
-    left out, and no task holds more than two blocks.
+    leader is linked across the parts. What is then not in the group's largest class meets every part's sets in blocks
+    of its own, also where another leader reaches it: no link between classes is left out, and no task holds more than
+    two blocks.
     """
     n = partitions(asked.sparkSession)
     sizes = asked.groupBy("candidate").agg(F.count("*").alias("n"))
@@ -150,7 +315,7 @@ def verified(asked: DataFrame, shingle: int, least: float, together: int = TOGET
             yield _pairs(names, [names[i] for i in alike([shingles(r[2], shingle) for r in rows], least)])
 
     def of_parts(rows: DataFrame) -> DataFrame:
-        return rows.select("candidate", "part", "follows", "set", "text").repartition(n, "candidate", "part").sortWithinPartitions("candidate", "part").mapInArrow(within, "set string, label string")
+        return rows.select("candidate", "part", "follows", "set", "text").repartition(n, "candidate", "part").sortWithinPartitions("candidate", "part").mapInArrow(within, "set long, label long")
 
     none = F.lit(0).alias("part"), F.lit(True).alias("follows")
     if not large.limit(1).count():
@@ -163,8 +328,10 @@ def verified(asked: DataFrame, shingle: int, least: float, together: int = TOGET
     parts = dealt.withColumn("part", F.explode(F.when(F.col("leads"), every).otherwise(F.array("own")))).withColumn("follows", F.col("leads").isNull())
     small = asked.join(large.select("candidate"), "candidate", "left_anti").select("*", *none)
     found = cut(of_parts(small.select("candidate", "set", "text", "part", "follows").unionByName(parts.select("candidate", "set", "text", "part", "follows"))))
-    led = found.join(leaders.select(F.col("set").alias("label")), "label", "left_semi").select("set")
-    alone = cut(dealt.filter("leads is null").join(led, "set", "left_anti"))
+    reached = dealt.filter("leads is null").join(_classes(found).withColumnRenamed("label", "class"), "set", "left").withColumn("class", F.coalesce("class", "set"))
+    reached = cut(reached)
+    biggest = reached.groupBy("candidate", "class").count().groupBy("candidate").agg(F.max_by("class", F.struct("count", "class")).alias("class"))
+    alone = cut(reached.join(biggest, ["candidate", "class"], "left_anti").drop("class"))
     if not alone.limit(1).count():
         return _classes(found)
     counts = alone.groupBy("candidate").agg(F.ceil(F.count("*") / together).cast("int").alias("blocks"))
@@ -184,7 +351,7 @@ def verified(asked: DataFrame, shingle: int, least: float, together: int = TOGET
             yield _pairs(left, to)
 
     both = asking.select("candidate", "part", "block", F.lit(True).alias("asks"), "set", "text").unionByName(others.select("candidate", "part", "block", F.lit(False).alias("asks"), "set", "text"))
-    more = both.repartition(n, "candidate", "part", "block").sortWithinPartitions("candidate", "part", "block").mapInArrow(across, "set string, label string")
+    more = both.repartition(n, "candidate", "part", "block").sortWithinPartitions("candidate", "part", "block").mapInArrow(across, "set long, label long")
     return _classes(found.unionByName(more))
 
 
@@ -200,12 +367,13 @@ def one_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: i
     copies of each other; rows of one doc_id with different texts are different documents. Other columns may have any
     names but ``_digest``. An empty table gives no rows. ``together`` changes the way, not the result.
 
-    Candidates are fingerprints within ``radius`` bits (covering tables) and sets that share a band with others,
-    directly or by steps; the exact similarity decides.
+    Candidates are fingerprints within ``radius`` bits (covering tables), sets that share a band with others, and sets
+    that share a window and by size and parity can be similar, directly or by steps; the exact similarity decides.
     """
     found = cut(sketches(docs, shingle))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("digest"))
-    classes = cut(found.groupBy("set").agg(F.min(row).alias("best"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    same = ("handle", "size", "parity", "fp", "bands")  # fp: of repeats too, so that of any of the rows
+    classes = cut(found.groupBy("content").agg(F.min(row).alias("best"), *(F.first(c).alias(c) for c in same)).drop("content").withColumn("set", F.monotonically_increasing_id()))
     keys = classes.select("set", F.posexplode("bands").alias("band", "key"))
     first = keys.groupBy("band", "key").agg(F.min("set").alias("root"), F.count("*").alias("n")).filter("n > 1")
     shared = cut(keys.join(first, ["band", "key"]).select("set", "root", "n"))
@@ -215,7 +383,11 @@ def one_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: i
     edges = shared.select(F.col("set").alias("a"), F.col("root").alias("b"))
     edges = edges.unionByName(classes.join(prints, "fp").select(F.col("set").alias("a"), F.col("root").alias("b")))
     edges = edges.unionByName(close.join(one, "a").join(other, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-    met = cut(components(edges.filter("a <> b")).select(F.col("node").alias("set"), F.col("component").alias("candidate")).distinct())
+    met = cut(components(cut(edges.filter("a <> b"))).select(F.col("node").alias("set"), F.col("component").alias("candidate")).distinct())
+    more = cut(missed(docs, classes, met, shingle, least))
+    if more.limit(1).count():
+        steps = met.select(F.col("set").alias("a"), F.col("candidate").alias("b")).unionByName(more)
+        met = cut(components(cut(steps)).select(F.col("node").alias("set"), F.col("component").alias("candidate")).distinct())
     scores = shared.groupBy("set").agg(F.sum("n").alias("score"))
     asked = classes.join(met, "set").join(scores, "set", "left").select("candidate", "set", F.coalesce("score", F.lit(0)).alias("score"), F.col("best.doc_id").alias("own_id"), F.col("best.digest").alias("digest"))
     keyed = texts(docs).withColumn("digest", F.md5("text"))

@@ -323,3 +323,79 @@ def test_one_row_of_each_group_of_near_copies(spark, docs, rows, none):
             best[g] = min(best.get(g, key), key)
         assert Counter((x.doc_id is None, x.doc_id or 0, hashlib.md5((x.text or "").encode()).hexdigest()) for x in got.collect()) == Counter(best.values())
     assert jaccard.one_of_each(none).count() == 0
+
+
+def at_threshold(seed, at=22):
+    """Two texts of 45 shingles that share 40: a similarity of 0.8."""
+    r = random.Random(seed)
+    words = [f"w{r.randrange(10**6)}" for _ in range(49)]
+    return " ".join(words), " ".join([*words[:at], "edited", *words[at + 1 :]])
+
+
+def slow_best(rows, least=0.8):
+    """The least id of each group, by brute force; texts without words aside."""
+    sets = [set(jaccard.shingles(t).tolist()) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if 5 * n >= 4 * (len(sets[i]) + len(sets[j]) - n) and label[i] != label[j]:
+                label = [label[j] if x == label[i] else x for x in label]
+    return sorted(min(d for (d, _), x in zip(rows, label, strict=True) if x == y) for y in set(label))
+
+
+def test_similar_sets_share_a_window():
+    r = np.random.default_rng(5)
+    for trial in range(3000):
+        both, one, other = int(r.integers(1, 120)), 0, 0
+        while 5 * both >= 4 * (both + one + other + 1) and r.random() < 0.98:
+            one, other = (one + 1, other) if r.random() < trial % 5 / 4 else (one, other + 1)
+        own = r.integers(0, 2**64, both + one + other, dtype=np.uint64)
+        a, b = np.sort(own[: both + one]), np.sort(np.r_[own[:both], own[both + one :]])
+        assert set(jaccard.windows(a).tolist()) & set(jaccard.windows(b).tolist())
+        rows = [(0, i, i, len(x), jaccard.parity(x)) for i, x in enumerate((a, b))]
+        assert len(jaccard.bounded(rows, 0.8)[0]) == 1
+        assert jaccard.bounded([(0, 0, 7, len(a), jaccard.parity(a)), (0, 1, 7, len(b), jaccard.parity(b))], 0.8) == ([], [])
+    a, b = (np.unique(r.integers(0, 2**64, 300, dtype=np.uint64)) for _ in range(2))
+    assert jaccard.bounded([(0, 0, 0, 300, jaccard.parity(a)), (0, 1, 1, 300, jaccard.parity(b))], 0.8) == ([], [])
+
+
+def test_pairs_that_bands_and_fingerprints_miss(spark):
+    rows = []
+    for k, seed in enumerate((1390, 2024, 2932, 5672, 6927, 9236)):
+        a, b = at_threshold(seed)
+        assert not set(jaccard.bands(jaccard.shingles(a))) & set(jaccard.bands(jaccard.shingles(b)))
+        assert (simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).bit_count() > 3
+        rows += [(10 * k, a), (10 * k + 1, b), (10 * k + 2, a)]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(x.doc_id for x in got.collect()) == slow_best(rows) == [0, 10, 20, 30, 40, 50]
+
+
+def test_windows_of_very_many_sets_are_dealt_in_blocks(spark):
+    r = random.Random(3)
+    common = " ".join(f"c{i}" for i in range(30))
+    rows = [(i, common + " " + " ".join(f"w{r.randrange(10**6)}" for _ in range(6 if i % 2 else 60))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = jaccard.sketches(df).withColumnRenamed("doc_id", "set")
+    met = spark.createDataFrame([], "set long, candidate long")
+    pairs = [{tuple(sorted(x)) for x in jaccard.missed(df, found, met, 5, 0.6, most).collect()} for most in (4096, 7)]
+    sets = [set(jaccard.shingles(t).tolist()) for _, t in rows]
+    near = {(i, j) for i in range(60) for j in range(i + 1, 60) if 5 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j])}
+    assert near and pairs[0] == pairs[1] >= near
+
+
+def test_classes_of_different_leaders_are_linked(spark):
+    """Two texts with many near copies, of which only one each is near the other's."""
+    r = random.Random(21)
+    new = lambda: f"w{r.randrange(10**6)}"
+    rows = []
+    for _ in range(3):
+        words = [new() for _ in range(90)]
+        for k in range(4):  # two next to each other share 77 of 95 shingles, others less than 0.8
+            rows.append((len(rows), " ".join(words)))
+            for at in range(20) if k in (0, 3) else ():
+                rows.append((len(rows), " ".join([*words[: 4 * at + 5], new(), *words[4 * at + 6 :]])))
+            words[20 * k + 10 : 20 * k + 15] = [new() for _ in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for together in (2000, 8):
+        assert sorted(x.doc_id for x in jaccard.one_of_each(df, together=together).collect()) == slow_best(rows) == [0, 44, 88]
