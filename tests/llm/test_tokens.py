@@ -66,6 +66,22 @@ def test_ready_words_by_ranks_equal_the_library():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == library_ids(WORD, words)
 
 
+def test_new_spaced_words_are_encoded_together(monkeypatch):
+    """One call of the faster library for all words that a run of texts brings, odd ones apart, with the ids of each."""
+    r = random.Random(34)
+    letters = "aeinrst é日🙂'.,!1\n\t\x85\xa0\u2028\u200b\x1f\x00Ġ"
+    made = bpe.SpacedEncoder(BYTE)
+    calls = []
+    encode = made.words.encode_ordinary
+    monkeypatch.setattr(made, "words", type("", (), {"encode_ordinary": staticmethod(lambda text: calls.append(text) or encode(text))}))
+    for corpus in ([" " + " ".join("".join(r.choice(letters[:7]) for _ in range(r.randint(1, 9))) for _ in range(200)) for _ in range(5)], ["  ", " \n \n", " <|endoftext|> a"]):
+        calls.clear()
+        assert [np.frombuffer(x, "<u4").tolist() for x in made(corpus)] == library_ids(BYTE, corpus)
+        assert len(calls) == 1
+    corpus = ["".join(r.choice(letters) for _ in range(r.randint(0, 30))) for _ in range(4000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in made(corpus)] == library_ids(BYTE, corpus)
+
+
 def test_long_words_by_changed_places_only():
     r = random.Random(31)
     words = ["".join(r.choice("aeinrst") for _ in range(n)) for n in (63, 64, 65, 66, 200, 1000, 30_000)] + ["a" * 500, "ab" * 333, "the" * 100, "x"]
