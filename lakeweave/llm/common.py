@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -65,14 +68,25 @@ def partitions(spark: SparkSession) -> int:
 
 #: Per worker process: what an operator remembers from task to task, by the operator's name, as a function that drops it.
 _KEPT: dict[str, Callable[[], None]] = {}
+#: glibc's way to give freed memory back to the system; other C libraries have none.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 
 
 def keep_only(name: str = "", drop: Callable[[], None] | None = None) -> None:
-    """Says at a task's start whose memory this worker keeps: that of other operators, which ran in it before, goes."""
-    for other in [n for n in _KEPT if n != name]:
+    """Says at a task's start whose memory this worker keeps: that of other operators, which ran in it before, goes.
+
+    What earlier tasks freed and allocators hold for later goes back to the system.
+    """
+    others = [n for n in _KEPT if n != name]
+    for other in others:
         _KEPT.pop(other)()
+    if others:
+        gc.collect()  # encoders and what they remember refer to each other
     if drop:
         _KEPT[name] = drop
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def bytes_of(df: DataFrame) -> int:

@@ -47,7 +47,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _pack(batches, path, end_id, window, open_windows, with_ids):
-    keep_only("packing", bpe.spaced_encoder.cache_clear)
+    keep_only("packing", bpe.forget)
     encode = bpe.spaced_encoder(path)
     part = TaskContext.get().partitionId()
     end = np.array([end_id], dtype="<u4").tobytes()

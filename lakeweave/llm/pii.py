@@ -343,6 +343,12 @@ def model(labelled: tuple[str, ...] = LABELLED) -> Model:
 _BROUGHT: dict[tuple[str, ...], Model] = {}
 
 
+def forget() -> None:
+    """Drops what a worker remembers of words."""
+    _BROUGHT.clear()
+    _shape.cache_clear()
+
+
 def find(texts: list[str], trained: Model | None = None) -> list[tuple[list, list]]:
     """Of each text the patterns' spans, and all spans: theirs and those of the model that touch none of them."""
     out = []
@@ -364,7 +370,7 @@ def personal_data(docs: DataFrame, labelled: tuple[str, ...] = LABELLED) -> Data
     named = lambda spans: [dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans]
 
     def run(batches):
-        keep_only()
+        keep_only("personal data", forget)
         for ids, run in rows_of(batches):
             found = find(run, _BROUGHT.setdefault(labelled, trained))
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "base": pa.array([named(b) for b, _ in found], span), "spans": pa.array([named(s) for _, s in found], span)})
@@ -398,7 +404,7 @@ def redact(docs: DataFrame, labelled: tuple[str, ...] = LABELLED) -> DataFrame:
     at = names.index("text")
 
     def run(batches):
-        keep_only()
+        keep_only("personal data", forget)
         for batch in batches:
             texts = batch.column(at).to_pylist()
             new: list = []

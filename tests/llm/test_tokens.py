@@ -119,6 +119,26 @@ def test_forgetting_changes_nothing(texts):
         assert np.frombuffer(small([t])[0], "<u4").tolist() == ids
 
 
+def test_workers_give_back_what_other_operators_remembered(spark, docs):
+    import gc
+
+    import pyarrow as pa
+
+    from lakeweave.llm import common, pii
+
+    def left(batches):
+        common.keep_only()
+        rows = sum(b.num_rows for b in batches)
+        caches = (bpe.spaced_encoder, bpe.library, bpe.merges, bpe.same_by_ranks, pii._shape)
+        n = sum(c.cache_info().currsize for c in caches) + len(pii._BROUGHT) + sum(isinstance(x, bpe.SpacedEncoder) for x in gc.get_objects())
+        yield pa.RecordBatch.from_pydict({"rows": pa.array([rows]), "n": pa.array([n])})
+
+    for run in (lambda: packing.pack(docs, BYTE), lambda: pii.redact(docs)):
+        run().count()
+        found = spark.range(0, 1000, 1, 8).mapInArrow(left, "rows long, n long").collect()
+        assert sum(x.rows for x in found) == 1000 and sum(x.n for x in found) == 0
+
+
 def test_encode_decode(docs, rows, none):
     got = tokens.encode_decode(docs, WORD, ("n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256")).collect()
     lib = bpe.library(WORD)
