@@ -383,11 +383,11 @@ def one_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: i
     edges = shared.select(F.col("set").alias("a"), F.col("root").alias("b"))
     edges = edges.unionByName(classes.join(prints, "fp").select(F.col("set").alias("a"), F.col("root").alias("b")))
     edges = edges.unionByName(close.join(one, "a").join(other, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-    met = cut(components(cut(edges.filter("a <> b"))).select(F.col("node").alias("set"), F.col("component").alias("candidate")).distinct())
+    met = cut(components(edges).select(F.col("node").alias("set"), F.col("component").alias("candidate")))
     more = cut(missed(docs, classes, met, shingle, least))
     if more.limit(1).count():
         steps = met.select(F.col("set").alias("a"), F.col("candidate").alias("b")).unionByName(more)
-        met = cut(components(cut(steps)).select(F.col("node").alias("set"), F.col("component").alias("candidate")).distinct())
+        met = cut(components(steps).select(F.col("node").alias("set"), F.col("component").alias("candidate")))
     scores = shared.groupBy("set").agg(F.sum("n").alias("score"))
     asked = classes.join(met, "set").join(scores, "set", "left").select("candidate", "set", F.coalesce("score", F.lit(0)).alias("score"), F.col("best.doc_id").alias("own_id"), F.col("best.digest").alias("digest"))
     keyed = texts(docs).withColumn("digest", F.md5("text"))

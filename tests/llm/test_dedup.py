@@ -217,6 +217,36 @@ def test_components(spark):
     assert components.components(df.limit(0)).count() == 0
 
 
+def test_components_in_one_task_and_by_steps(spark):
+    r = random.Random(17)
+    edges = [(x - 900, x - 899) for x in r.sample(range(300), 300)] + [(r.randint(0, 700), r.randint(0, 700)) for _ in range(300)] + [(2**63 - 1, -(2**63)), (5, 5)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    one, steps = (sorted((x.node, x.component) for x in components.components(df, gathered).collect()) for gathered in (600, 0))
+    assert one == steps and len(dict(one)) == len(one) == len({x for a, b in edges if a != b for x in (a, b)})
+    assert components.components(df.limit(0), 0).count() == components.components(df.limit(0)).count() == 0
+
+
+def test_few_links_take_few_tasks(spark):
+    """Each task of a small shuffle leaves files and events of its own: hundreds of partitions made more of them than of data."""
+    df = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    sc = spark.sparkContext
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(kept, ("20", "false"), strict=True):
+        spark.conf.set(k, v)
+    sc.setJobGroup("few links", "")
+    try:
+        assert {x.component for x in components.components(df).collect()} == {0}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few links") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(x.numCompletedTasks for x in map(tracker.getStageInfo, stages) if x)
+    assert 0 < tasks <= 100
+
+
 def test_fingerprints_tell_edits(texts):
     own = [t or "" for t in texts]
     prints = merkle.fingerprints(own)
