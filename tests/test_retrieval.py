@@ -226,3 +226,42 @@ def test_spelling_errors_are_put_right(spark, sf):
         d, entry = min((edits(word, n), n) for n in names)
         assert got[word] == (entry if d <= 2 else word)
     assert any(w != s for w, s in got.items())
+
+
+def test_searches_join_blocks_and_cut_each_query_where_pairs_are_made(spark):
+    """Few rows cross, and tasks leave only what can be among the k best; ties, nulls, odd lengths and NaN as one by one."""
+    r = np.random.default_rng(5)
+    v = r.integers(-2, 3, size=(400, 6)).astype(float)  # many equal scores
+    rows = [(f"d{i % 7}", i // 3, i % 3, x.tolist()) for i, x in enumerate(v)]
+    rows += [("d9", 900, 0, None), ("d9", 901, 0, [1.0, None, 0.0, 0.0, 0.0, 0.0]), ("d9", 902, 0, [1.0, 2.0]), ("d9", 903, 0, [float("nan")] + [0.0] * 5), (None, 904, 0, v[0].tolist())]
+    c = spark.createDataFrame(rows, "document_id string, section long, vec int, vector array<double>").repartition(3)
+    asked = [(i, v[i].tolist()) for i in range(40)] + [(50, None), (51, [1.0, 1.0])]
+    q = spark.createDataFrame(asked, "query_id long, query array<double>")
+
+    def dot(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a or None in b:
+            return None
+        s = 0.0
+        for x, y in zip(a, b, strict=True):
+            s += x * y
+        return s
+
+    rank = lambda s: (2, 0.0) if s is None else (0, 0.0) if s != s else (1, -s)
+    for k, floor in ((5, None), (5, 3.0), (None, 3.0)):
+        want = {}
+        for i, a in asked:
+            best = {}
+            for d, s, n, b in rows:
+                x = dot(a, b)
+                if (d, s) not in best or rank(x) < rank(best[d, s][0]):
+                    best[d, s] = (x, b)
+            kept = [(key, *b) for key, b in best.items() if floor is None or b[0] is not None and (b[0] != b[0] or b[0] >= floor)]
+            want |= {(i, n): row for n, row in enumerate(sorted(kept, key=lambda x: (rank(x[1]), x[0][0] is not None, x[0][0] or "", x[0][1]))[:k], 1)}
+        found = retrieval.scores(c, q, floor, k)
+        ranked = retrieval.top(found, k or 10_000).collect()
+        got = {(x.query_id, x.rank): ((x.document_id, x.section), x.score, x.best_vec) for x in ranked}
+        assert repr(sorted(got.items())) == repr(sorted(want.items())), (k, floor)
+        if k:
+            assert found.count() <= 64 * k * len(asked)
+    joined = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "own#" in joined.split("Join")[0] and "transform" not in joined  # whole blocks cross, not rows
