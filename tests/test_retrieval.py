@@ -265,3 +265,13 @@ def test_searches_join_blocks_and_cut_each_query_where_pairs_are_made(spark):
             assert found.count() <= 64 * k * len(asked)
     joined = found._jdf.queryExecution().optimizedPlan().toString()
     assert "own#" in joined.split("Join")[0] and "transform" not in joined  # whole blocks cross, not rows
+
+
+def test_analysis_reads_tokens_once_for_each_use(spark):
+    """A value that several expressions are made of is bound to a name or a column: it stands in the plan once."""
+    df = spark.createDataFrame([(1, "Hello! what is it?? Why? right now, fine")], "query_id int, query string")
+    plan = query.analyze(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(\\s*(?:\\w+|[^\\w\\s]))") == 2  # of the signs of several questions, and of the parts
+    assert plan.count("(?:as soon as possible)") == 2  # counted, and taken out
+    got = one(spark, lambda c: query.frustration(c)["score"], "NOW? asap, right now", "snow")
+    assert got == [0.25, 0.0]
