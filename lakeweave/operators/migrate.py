@@ -10,10 +10,27 @@ from ..functions.values import same_value
 SEVERITY = {"dropped": 3, "value": 2, "reference": 1}
 
 
+#: Bytes, by the plan's estimate, of what one task groups.
+PART = 4 << 20
+
+
+def parts(df: DataFrame) -> int:
+    """Into how many parts to deal a table: as many as shuffles have here, more if it is large; adaptive plans keep the number."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART if size < 1 << 40 else 0)
+
+
 def compare(source: DataFrame, target: DataFrame, key: str, fields: list[str], order: str | None = None) -> DataFrame:
-    """Full outer join of both sides by key, with the list of fields that differ; of repeated keys the last in ``order`` counts."""
-    side = lambda df, name: df.groupBy(key).agg(F.max_by(F.struct(*fields), F.col(order or fields[0])).alias(name), F.count("*").alias(f"{name}_rows"))
-    both = side(source, "s").join(side(target, "t"), key, "full_outer")
+    """Both sides by key, with the list of fields that differ; of repeated keys the last in ``order`` counts.
+
+    Rows of both are dealt by key into parts of about PART bytes before they are grouped, both sides at once: keys hardly
+    repeat, so grouping where rows are read would sort whole input splits for nothing, and each side again for a join. Null
+    keys equal nothing.
+    """
+    side = lambda df, name: df.select(F.col(key), F.when(F.col(key).isNull(), F.lit(name)).alias("_side"), F.struct(*fields).alias(name), F.col(order or fields[0]).alias(f"_{name}"), F.lit(1).alias(f"{name}_rows"))
+    rows = side(source, "s").unionByName(side(target, "t"), allowMissingColumns=True)
+    last = lambda name: [F.max_by(name, f"_{name}").alias(name), F.sum(f"{name}_rows").alias(f"{name}_rows")]
+    both = rows.repartition(parts(rows), key).groupBy(key, "_side").agg(*last("s"), *last("t"))
     differ = F.array_compact(F.array(*(F.when(~same_value(F.col(f"s.{f}"), F.col(f"t.{f}")), F.lit(f)) for f in fields)))
     state = F.when(F.col("t_rows").isNull(), "dropped").when(F.col("s_rows").isNull(), "added").otherwise("both")
     return both.select(key, state.alias("state"), F.when(state == "both", differ).otherwise(F.array().cast("array<string>")).alias("fields"), "s", "t", "s_rows", "t_rows")

@@ -364,3 +364,15 @@ def test_queue_handles_each_item_once(spark, tmp_path):
     done = [json.loads(r.payload)["n"] for r in spark.read.schema(queue.ITEM).option("recursiveFileLookup", True).json(str(tmp_path / "done")).collect()]
     dead = spark.read.schema(queue.ITEM).option("recursiveFileLookup", True).json(str(tmp_path / "dead")).collect()
     assert sorted(done) == [0, 2] and [(json.loads(r.payload)["n"], r.retries) for r in dead] == [(1, 2)]
+
+
+def test_migration_is_dealt_before_it_is_grouped(spark):
+    """No task sorts what it reads, both sides are grouped at once, and null keys equal nothing."""
+    schema = "k long, value double, reference string, at int"
+    s = spark.createDataFrame([(1, 1.0, "a", 1), (1, 2.0, "a", 2), (2, 5.0, "b", 1), (None, 1.0, "n", 1)], schema)
+    t = spark.createDataFrame([(1, 2.0, "a", 1), (2, 6.0, "c", 1), (3, 1.0, "d", 1), (None, 1.0, "n", 1)], schema)
+    both = migrate.compare(s, t, "k", ["value", "reference"], "at")
+    got = sorted((r.k or 0, r.state, r.fields, r.s_rows, r.t_rows) for r in both.collect())
+    assert got == [(0, "added", [], None, 1), (0, "dropped", [], 1, None), (1, "both", [], 2, 1), (2, "both", ["value", "reference"], 1, 1), (3, "added", [], None, 1)]
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.index("Aggregate") < plan.index("RepartitionByExpression")
