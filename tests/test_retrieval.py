@@ -275,3 +275,31 @@ def test_analysis_reads_tokens_once_for_each_use(spark):
     assert plan.count("(?:as soon as possible)") == 2  # counted, and taken out
     got = one(spark, lambda c: query.frustration(c)["score"], "NOW? asap, right now", "snow")
     assert got == [0.25, 0.0]
+
+
+def test_segments_are_handed_on_in_small_frames():
+    """A worker holds the rows of a text or less, not those of a whole batch."""
+    import pyarrow as pa
+
+    class Docs:
+        def selectExpr(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    batch = pa.RecordBatch.from_pydict({"document_id": ["a", "b", None], "text": ["One two. " * 20_000, None, "# T\n\nx y. Z."]})
+    for table, n in ((segment.segment_table, 20_002), (segment.section_table, 2), (segment.chunk_table, 20_001)):
+        frames = list(table(Docs())(iter([batch])))
+        assert sum(f.num_rows for f in frames) == n and max(f.num_rows for f in frames) <= 8192
+
+
+def test_sections_and_their_ranges_are_made_in_one_pass(spark):
+    docs = spark.createDataFrame([("a", TEXT), ("b", None)], "document_id string, text string")
+    from lakeweave.operators import corpus
+
+    built = corpus.build(docs)
+    plan = built._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    rows = {(r.document_id, r.section): (r.range_start, r.range_end) for r in built.collect()}
+    assert rows == {(r.document_id, r.section): (r.start, r.end) for r in segment.section_table(docs).collect()}
