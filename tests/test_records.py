@@ -376,3 +376,11 @@ def test_migration_is_dealt_before_it_is_grouped(spark):
     assert got == [(0, "added", [], None, 1), (0, "dropped", [], 1, None), (1, "both", [], 2, 1), (2, "both", ["value", "reference"], 1, 1), (3, "added", [], None, 1)]
     plan = both._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.index("Aggregate") < plan.index("RepartitionByExpression")
+
+
+def test_loose_equality_squeezes_each_side_once(spark):
+    rows = [(0, " 7", "7.0"), (1, "1 000", "1,000.0"), (2, "a b", "ab"), (3, "﻿", None), (4, None, "x"), (5, "1e999", "1e998"), (6, " x　", "x"), (7, "7", "8")]
+    df = spark.createDataFrame(rows, "i int, a string, b string").select("i", cells.eq_norm(F.col("a"), F.col("b")).alias("same"))
+    assert [r.same for r in df.orderBy("i").collect()] == [True, True, True, True, False, False, True, False]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 2 and plan.count("RLIKE") == 2 and "regexp_replace" not in plan
